@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import components
+from lodemill.llm import components, leakage, mixing, nearest, splitting
+from lodemill.llm.near_duplicates import NearDuplicates
 from lodemill.session import table
 
 
+def near_duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), "id", "text")
+    files = table(spark, sf_dir, "files").select(F.lit("file").alias("kind"), "id", F.col("summary").alias("text"))
+    return chunks.unionByName(files)
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(near_duplicate_records(spark, sf_dir), shingle=3, least=0.6, least_words=8)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).found_pairs().withColumnRenamed("kind", "record_kind")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("kind", "record_kind")
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(table(spark, sf_dir, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_neighbours(spark, sf_dir).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def duplicate_links(spark: SparkSession, sf_dir: str, least: float = 0.8, most: float = 1.0) -> DataFrame:
     """The rows of duplicates that link two recorded files: a similarity between the bounds, different ids, both in files."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id")).where(F.col("file_id").isNotNull()).distinct()
@@ -38,5 +65,102 @@ reach(file_id, other) AS (
 SELECT file_id, min(other) AS group_id FROM reach GROUP BY file_id
 """
 
-QUERIES = {"p4_found": p4_found, "p4_group_sizes": p4_group_sizes}
-SQL = {"p4_found": _P4, "p4_group_sizes": f"SELECT group_id, count(*) AS files FROM ({_P4}) GROUP BY group_id"}
+
+def chunk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct chunks with the limits of their file's mime, or of ``default`` where file, mime or row is missing."""
+    limits = table(spark, sf_dir, "chunking_thresholds").where(F.col("media_type").isNotNull()).dropDuplicates(["media_type"])
+    columns = ["target_tokens", "overlap", "separator_hierarchy"]
+    mimes = table(spark, sf_dir, "files").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("f")).agg(F.max("mime").alias("mime"))
+    own = mimes.join(limits.select(F.col("media_type").alias("m"), F.struct(*columns).alias("own")), F.col("mime") == F.col("m")).select("f", "own")
+    usual = limits.where(F.col("media_type") == "default").select(F.struct(*columns).alias("usual"))
+    least = limits.agg(F.min("target_tokens").alias("least"))
+    # Texts within the least of all limits are cut under none, so they need not be joined.
+    chunks = table(spark, sf_dir, "chunks").select("id", "file_id", "text").crossJoin(F.broadcast(least)).where(splitting.token_count(F.col("text")) > F.col("least"))
+    joined = chunks.join(own, F.col("file_id") == F.col("f"), "left").join(F.broadcast(usual.limit(1)), F.lit(True), "left")
+    return joined.select("id", "text", F.coalesce("own", "usual").alias("l")).select("id", "text", "l.*")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(chunk_limits(spark, sf_dir), "id", "text", "target_tokens", "overlap", "separator_hierarchy")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pieces(spark, sf_dir).where(F.col("piece") == 1).select(F.col("item_id").alias("chunk_id")).distinct()
+
+
+_P6 = """
+WITH m AS (SELECT id, max(mime) AS mime FROM files GROUP BY id),
+l AS (SELECT c.id, length(regexp_replace(c.text, '[\\x{0009}-\\x{000d}\\x{0020}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) // 3 AS tokens,
+    coalesce(t.target_tokens, (SELECT max(target_tokens) FROM chunking_thresholds WHERE media_type = 'default')) AS target
+  FROM chunks c LEFT JOIN m ON m.id = c.file_id LEFT JOIN chunking_thresholds t ON t.media_type = m.mime)
+SELECT DISTINCT id AS chunk_id FROM l WHERE tokens > target
+"""
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).where("exact").select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if("exact").alias("exact_documents"))
+
+
+_P7 = """
+WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items),
+g AS (SELECT DISTINCT k, id, array_to_string(ws[p : p + 11], ' ') AS gram FROM (SELECT k, id, ws, unnest(range(1, len(ws) - 10)) AS p FROM w))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (gram) WHERE d.k = 'd' AND i.k = 'i'
+"""
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    docs = mixing.counted(table(spark, sf_dir, "documents"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_shares(*_mix(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where("short").select("source")
+
+
+_P8 = """
+WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents),
+h AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
+SELECT t.source FROM mix_targets t LEFT JOIN h ON h.source = lower(trim(t.source))
+WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM d)
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
+    "p4_found": p4_found,
+    "p4_group_sizes": p4_group_sizes,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_schedule": p8_schedule,
+    "p8_shares": p8_shares,
+}
+SQL = {
+    "p4_found": _P4,
+    "p4_group_sizes": f"SELECT group_id, count(*) AS files FROM ({_P4}) GROUP BY group_id",
+    "p6_found": _P6,
+    "p7_found": _P7,
+    "p8_found": _P8,
+}
