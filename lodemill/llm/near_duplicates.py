@@ -1,9 +1,10 @@
 """Near-duplicate records: SuperMinHash signatures, banding, exact verification and union-find grouping.
 
 Records of the same words are one class, so copies cost one signature and one verification, however many there are. The
-slots of a signature are cut into bands; classes that share a band are candidates, and the distinct shingles of both
-texts decide. Which keys hold more than one class is found by partial aggregation over fixed-width rows; only keys with
-three classes or more are joined, and adaptive skew joins split the busy ones.
+slots of a signature are cut into bands; classes that share a band are candidates. One bit of each slot makes a sketch
+that drops candidates far from the threshold before any text is fetched, and the distinct shingles of both texts decide.
+Which keys hold more than one class is found by aggregation over fixed-width rows; only keys with three classes or more
+are joined, and adaptive skew joins split the busy ones.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from lodemill.llm.components import link_groups
 from lodemill.llm.words import mix, shingles, word_hash, words
 from lodemill.session import Scratch
 
-BANDS, ROWS = 30, 3
+BANDS, ROWS = 28, 4
 REPRESENTATIVES = 8
 _RANK = np.uint64(56)
 _BATCH = 20_000
@@ -72,6 +73,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 0.0
 
 
+def text_class(kind: str, w: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(f"{kind}\0{' '.join(w)}".encode("utf-8", "surrogatepass"))
+
+
 def _signed(shingle: int, least_words: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,7 +86,7 @@ def _signed(shingle: int, least_words: int, bands: int, rows: int):
                 if len(w) < max(least_words, shingle):
                     continue
                 elements = np.unique(shingles(np.fromiter(map(word_hash, w), dtype=np.uint64), shingle))
-                held.append((kind, rid, xxhash.xxh3_128_digest(f"{kind}\0{' '.join(w)}".encode("utf-8", "surrogatepass")), elements, text))
+                held.append((kind, rid, text_class(kind, w), elements))
                 size += len(elements)
                 if size >= _BATCH:
                     yield _rows(held, bands, rows)
@@ -98,20 +103,30 @@ def _rows(held: list[tuple], bands: int, rows: int) -> pd.DataFrame:
     number = {c: k for k, c in enumerate(first)}
     sets = [held[n][3] for n in first.values()]
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keys = band_keys(signatures(np.concatenate([np.empty(0, np.uint64), *sets]), owner, len(sets), bands * rows), rows)
+    signed = signatures(np.concatenate([np.empty(0, np.uint64), *sets]), owner, len(sets), bands * rows)
     kinds = np.array([word_hash(str(held[n][0])) for n in first.values()], dtype=np.uint64)
-    keys = mix(keys ^ kinds[:, None]).view(np.int64)
+    keys = mix(band_keys(signed, rows) ^ kinds[:, None]).view(np.int64)
+    bits = np.packbits((mix(signed) & np.uint64(1)).astype(np.uint8), axis=1)
+    words_ = np.zeros((len(sets), -(-bits.shape[1] // 8) * 8), dtype=np.uint8)
+    words_[:, : bits.shape[1]] = bits
+    sketch = words_.view(np.int64)
     return pd.DataFrame(
         {
             "kind": [h[0] for h in held],
             "id": [h[1] for h in held],
             "cls": [h[2] for h in held],
             "keys": [keys[number[h[2]]] for h in held],
-            "text": [h[4] for h in held],
+            "sketch": [sketch[number[h[2]]] for h in held],
         }
     )
 
 
+def sketch_limit(slots: int, least: float, deviations: float = 4.0) -> int:
+    """Most bits of ``slots`` that may differ: what a pair just ``least`` similar has, and some standard deviations more."""
+    p = (1 - least) / 2
+    return int(slots * p + deviations * (slots * p * (1 - p)) ** 0.5)
+
+
 class NearDuplicates:
     """The classes of a collection and the pairs of classes at least ``least`` similar.
 
@@ -122,17 +137,17 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, shingle: int = 5, least: float = 0.8, least_words: int = 8, bands: int = BANDS, rows: int = ROWS):
         self.scratch = Scratch(records.sparkSession)
-        texts = records.select("kind", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-        signed = texts.mapInPandas(_signed(shingle, least_words, bands, rows), "kind string, id string, cls binary, keys array<bigint>, text string")
-        self.signed = self.scratch.write(signed)
-        self.members = self.signed.select("kind", "cls", "id")
+        self.records = records.select("kind", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+        signed = self.records.mapInPandas(_signed(shingle, least_words, bands, rows), "kind string, id string, cls binary, keys array<bigint>, sketch array<bigint>")
+        signed = self.scratch.write(signed)
+        self.members = signed.select("kind", "cls", "id")
         order = Window.partitionBy("kind", "cls").orderBy("id")
         few = self.members.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= REPRESENTATIVES)
         few = few.groupBy("kind", "cls").agg(F.sort_array(F.collect_set("id")).alias("reps"))
-        body = self.signed.groupBy("kind", "cls").agg(F.first(F.struct("keys", "text")).alias("b"))
-        classes = few.join(body, ["kind", "cls"]).select("kind", "cls", "reps", "b.keys", "b.text")
+        body = signed.groupBy("kind", "cls").agg(F.first(F.struct("keys", "sketch")).alias("b"))
+        classes = few.join(body, ["kind", "cls"]).select("kind", "cls", "reps", "b.keys", "b.sketch")
         self.classes = self.scratch.write(classes.withColumn("no", F.monotonically_increasing_id()))
-        self.pairs = self.scratch.write(self._verified(shingle, least))
+        self.pairs = self.scratch.write(self._verified(shingle, least, sketch_limit(bands * rows, least)))
 
     def _candidates(self) -> DataFrame:
         rows = self.classes.select("no", F.explode("keys").alias("key")).repartition("key")
@@ -142,14 +157,34 @@ class NearDuplicates:
         more = busy.select("key", F.col("no").alias("a")).join(busy.select("key", F.col("no").alias("b")), "key").where(F.col("a") < F.col("b")).select("a", "b")
         return two.unionByName(more).distinct()
 
-    def _verified(self, shingle: int, least: float) -> DataFrame:
-        text = self.classes.select("no", "kind", "text")
+    def _near(self, limit: int) -> DataFrame:
+        """The candidates of one kind whose sketches differ in at most ``limit`` bits."""
+        sketches = self.classes.select("no", "kind", "sketch")
         both = (
             self._candidates()
-            .join(text.select(F.col("no").alias("a"), F.col("kind").alias("kind_a"), F.col("text").alias("text_a")), "a")
-            .join(text.select(F.col("no").alias("b"), F.col("kind").alias("kind_b"), F.col("text").alias("text_b")), "b")
-            .where(F.col("kind_a").eqNullSafe(F.col("kind_b")))
+            .join(sketches.select(F.col("no").alias("a"), F.col("kind").alias("kind_a"), F.col("sketch").alias("sa")), "a")
+            .join(sketches.select(F.col("no").alias("b"), F.col("kind").alias("kind_b"), F.col("sketch").alias("sb")), "b")
         )
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return both.where(F.col("kind_a").eqNullSafe(F.col("kind_b")) & (differ <= limit)).select("a", "b")
+
+    def _texts(self, pairs: DataFrame) -> DataFrame:
+        """``no, text`` of the classes in the pairs, fetched from the records by the least id of each class."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+        wanted = self.classes.join(wanted, "no").select("no", "kind", "cls", F.element_at("reps", 1).alias("id"))
+
+        def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:  # an id may have had another text
+                fits = [text_class(kind, words(text)) == bytes(cls) for kind, text, cls in zip(batch["kind"], batch["text"], batch["cls"])]
+                yield batch[fits][["no", "text"]]
+
+        found = self.records.join(wanted, ["kind", "id"]).select("no", "kind", "cls", "text").mapInPandas(same, "no bigint, text string")
+        return found.groupBy("no").agg(F.first("text").alias("text"))
+
+    def _verified(self, shingle: int, least: float, limit: int) -> DataFrame:
+        pairs = self.scratch.write(self._near(limit))
+        text = self.scratch.write(self._texts(pairs))
+        both = pairs.join(text.select(F.col("no").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("no").alias("b"), F.col("text").alias("text_b")), "b")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
