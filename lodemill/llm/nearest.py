@@ -24,9 +24,10 @@ from lodemill.llm.vptree import Hits, Tree, search
 from lodemill.session import Scratch
 
 SAMPLE = 20_000
-SHARD = 4096
-BUCKET = 192
-FACTOR = 0.5
+SHARD = 16_384
+LEAST_SHARDS = 16
+BUCKET = 256
+FACTOR = 0.4
 
 
 def _usable(dimension: int):
@@ -49,40 +50,27 @@ def _array(packed) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype="<f4").reshape(len(packed), -1).astype(np.float64)
 
 
-def nearest_points(points: DataFrame, k: int, factor: float = FACTOR, sample: int = SAMPLE, shard: int = SHARD, bucket: int = BUCKET, most: int = 65_536) -> DataFrame:
-    """``no, hits array<struct<square, no>>``: the k nearest other points of each of ``points(no, vec)``.
+def shard_tree(vectors: list[bytes], shards: int, k: int, factor: float) -> tuple[Tree, float]:
+    """The tree that parts the space into about ``shards`` shards, and the margin it kept clear around its radii."""
+    fitted = _array(list(dict.fromkeys(vectors)))
+    margin = factor * _typical_reach(fitted, k)
+    return Tree(fitted, -(-len(fitted) // max(1, min(shards, len(fitted) // 16))), margin), margin
+
+
+def nearest_points(points: DataFrame, top, margin: float, k: int, factor: float = FACTOR, bucket: int = BUCKET, most: int = 65_536) -> DataFrame:
+    """``no, hits array<struct<square, no>>``: the k nearest other points of each of ``points(no, vec, leaf)``.
 
-    ``vec`` is the packed little-endian float32 vector; no two points should be equal. ``points`` is read several times
-    and should be a written table. The tree over shards is fitted on at most ``sample`` points, all are indexed.
+    ``vec`` is the packed little-endian float32 vector, ``leaf`` where the broadcast tree ``top`` puts it; no two points
+    should be equal. ``points`` is read several times and should be a written table.
     """
     spark = points.sparkSession
     scratch = Scratch(spark)
-    count = points.count()
-    if count == 0:
-        return spark.createDataFrame([], "no bigint, hits array<struct<square:double,no:bigint>>")
-    share = min(1.0, 0.9 * sample / count)
-    rows = points.where(F.pmod(F.xxhash64("no"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample).select("vec").collect()
-    fitted = _array([r.vec for r in rows]) if rows else _array([points.first().vec])
-    margin = factor * _typical_reach(fitted, k)
-    shards = max(1, min(-(-count // shard), len(fitted) // 16))
-    top = spark.sparkContext.broadcast(Tree(fitted, -(-len(fitted) // shards), margin))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(leaf=top.value.route(_array(batch["vec"].tolist())))
-
-    placed = points.select("no", "vec").mapInPandas(assign, "no bigint, vec binary, leaf bigint")
-    sizes = placed.groupBy("leaf").count().collect()  # one row a shard of the tree
+    sizes = points.groupBy("leaf").count().collect()  # one row a shard of the tree
     parts = {r["leaf"]: -(-r["count"] // most) for r in sizes}
     known = spark.sparkContext.broadcast(parts)
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in assign(batches):
-            of = np.array([known.value.get(leaf, 1) for leaf in batch["leaf"]], dtype=np.int64)
-            yield batch.assign(part=(batch["no"].to_numpy() * 0x9E3779B1 >> 7) % of)
-
-    home = points.select("no", "vec").mapInPandas(part, "no bigint, vec binary, leaf bigint, part bigint")
+    split = [(leaf, n) for leaf, n in parts.items() if n > 1]
+    of = F.element_at(F.create_map(*[F.lit(x) for pair in split for x in pair]), F.col("leaf")) if split else F.lit(None).cast("bigint")
+    home = points.select("no", "vec", "leaf", F.pmod(F.xxhash64("no"), F.coalesce(of.cast("bigint"), F.lit(1).cast("bigint"))).alias("part"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = home.repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "no")
     first = scratch.write(keyed.mapInPandas(_search_home(k, factor, bucket, margin), "leaf bigint, part bigint, no bigint, vec binary, reach double, square array<double>, number array<bigint>"))
@@ -128,7 +116,8 @@ def _shards(batches: Iterator[pd.DataFrame]):
 
 
 def _lists(hits: Hits) -> tuple[list, list]:
-    found = np.isfinite(hits.square)
+    """Squares and numbers of the hits of each query, without those beyond its reach."""
+    found = np.isfinite(hits.square) & (hits.square <= (hits.limit * (1 + 1e-12))[:, None] ** 2)
     return [s[f] for s, f in zip(hits.square, found)], [n[f] for n, f in zip(hits.number, found)]
 
 
@@ -176,29 +165,49 @@ def _search_guests(k: int, factor: float, bucket: int, margin: float):
             hits = Hits(len(guests), k, guests["reach"].to_numpy())
             search(tree, x, numbers, _array(guests["vec"].tolist()), guests["no"].to_numpy(), hits, factor)
             square, number = _lists(hits)
-            yield pd.DataFrame({"no": guests["no"].to_numpy(), "square": square, "number": number})
+            better = [n for n, x in enumerate(number) if len(x)]
+            if better:
+                yield pd.DataFrame({"no": guests["no"].to_numpy()[better], "square": [square[n] for n in better], "number": [number[n] for n in better]})
 
     return run
 
 
-def nearest_vectors(items: DataFrame, item_id: str = "id", vector: str = "vector", k: int = 5, dimension: int = 64, **options) -> DataFrame:
+def nearest_vectors(items: DataFrame, item_id: str = "id", vector: str = "vector", k: int = 5, dimension: int = 64, factor: float = FACTOR, sample: int = SAMPLE, shard: int = SHARD, bucket: int = BUCKET, most: int = 65_536) -> DataFrame:
     """``id, rank, neighbour, square``: the k nearest other items of every item, ranked by distance, then id.
 
     Only vectors of exactly ``dimension`` finite values that are not all zero take part. Repeated rows count once; null
     ids take no part; other columns are ignored. Fewer than k others give fewer rows. With ``factor=1`` the result is
-    exact; else a hit may be missed where a side of a tree was skipped.
+    exact; else a hit may be missed where a side of a tree was skipped. The tree over shards is fitted on at most ``sample``
+    vectors, all are indexed.
     """
-    scratch = Scratch(items.sparkSession)
-    usable = items.select(F.col(item_id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where(F.size("vector") == dimension)
-    members = scratch.write(usable.mapInPandas(_usable(dimension), "id string, h binary, vec binary"))
+    spark = items.sparkSession
+    scratch = Scratch(spark)
+    named = items.select(F.col(item_id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where(F.size("vector") == dimension)
+    usable = named.mapInPandas(_usable(dimension), "id string, h binary, vec binary")
+    members = scratch.write(usable.select("id", "h"))
+    count = members.count()
+    if count == 0:
+        return spark.createDataFrame([], "id string, rank int, neighbour string, square double")
+    share = min(1.0, 0.9 * sample / count)
+    some = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).mapInPandas(_usable(dimension), "id string, h binary, vec binary")
+    rows = some.limit(sample).select("vec").collect() or usable.limit(1).select("vec").collect()
+    tree, margin = shard_tree([r.vec for r in rows], max(LEAST_SHARDS, -(-count // shard)), k, factor)
+    top = spark.sparkContext.broadcast(tree)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(leaf=top.value.route(_array(batch["vec"].tolist())))
+
     order = Window.partitionBy("h").orderBy("id")
     # k + 1 ids of equal vectors are all that any item can have among its hits.
-    few = members.select("h", "id").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
+    few = members.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
     few = few.groupBy("h").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    body = members.groupBy("h").agg(F.first("vec").alias("vec"))
-    points = few.join(body, "h").orderBy(F.element_at("ids", 1)).withColumn("no", F.monotonically_increasing_id())
-    points = scratch.write(points)
-    found = nearest_points(points.select("no", "vec"), k, **options)
+    lists = scratch.write(few.orderBy(F.element_at("ids", 1)).withColumn("no", F.monotonically_increasing_id()))
+    body = usable.groupBy("h").agg(F.first("vec").alias("vec"))
+    points = body.join(lists.select("h", "no"), "h").select("no", "vec").mapInPandas(place, "no bigint, vec binary, leaf bigint")
+    found = nearest_points(scratch.write(points), top, margin, k, factor, bucket, most)
+    points = lists
     ids = points.select(F.col("no").alias("n_no"), F.col("ids").alias("n_ids"))
     near = (
         found.select("no", F.explode("hits").alias("hit"))

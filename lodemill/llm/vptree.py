@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-CANDIDATES = 16
-EVALUATED = 1024
+CANDIDATES = 8
+EVALUATED = 512
 
 
 def distances(a: np.ndarray, point: np.ndarray) -> np.ndarray:
