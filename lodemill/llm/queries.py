@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import components, leakage, mixing, nearest, splitting
+from lodemill.llm import components, leakage, mixing, nearest, scans, splitting
 from lodemill.llm.near_duplicates import NearDuplicates
 from lodemill.session import table
 
@@ -28,6 +28,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("kind", "record_kind")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> scans.ScannedTexts:
+    return scans.ScannedTexts(table(spark, sf_dir, "representations").select("id", "kind", F.col("textual_payload").alias("text")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).defects().withColumnRenamed("id", "representation_id")
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).repaired().withColumnRenamed("id", "representation_id")
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_vectors(table(spark, sf_dir, "chunks"))
 
@@ -144,6 +156,8 @@ WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM d)
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
