@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import components, leakage, mixing, nearest, scans, splitting
+from lodemill.llm import abuse, components, leakage, mixing, nearest, scans, splitting
 from lodemill.llm.near_duplicates import NearDuplicates
 from lodemill.session import table
 
@@ -153,6 +153,19 @@ SELECT t.source FROM mix_targets t LEFT JOIN h ON h.source = lower(trim(t.source
 WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM d)
 """
 
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).select("doc_id", F.explode("categories").alias("category"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), p9_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -170,6 +183,9 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_schedule": p8_schedule,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 SQL = {
     "p4_found": _P4,
