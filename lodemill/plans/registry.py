@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.plans import changefeed
+from lodemill.plans import changefeed, retrieval
 
-_MODULES = [changefeed]
+_MODULES = [retrieval, changefeed]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changefeed.p5_found(spark, sf_dir)
+    return retrieval.search_files(spark, sf_dir)
