@@ -110,8 +110,8 @@ def lease_conflicts(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("scope"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     now = F.lit("1998-07-20").cast("timestamp")
-    leases = orders.select(F.col("o_orderkey").alias("lease_id"), "scope", F.lit("active").alias("status"), F.date_add(F.col("o_orderdate").cast("date"), 14).cast("timestamp").alias("expires_at"))
-    wanted = orders.where(F.col("o_orderdate") >= "1998-07-20").select(F.col("o_orderkey").alias("request_id"), F.col("scope").alias("paths"))
+    leases = orders.where(F.col("o_orderdate") <= now).select(F.col("o_orderkey").alias("lease_id"), "scope", F.lit("active").alias("status"), F.date_add(F.col("o_orderdate").cast("date"), 14).cast("timestamp").alias("expires_at"))
+    wanted = orders.where((F.col("o_orderdate") > now) & (F.col("o_orderdate") <= F.lit("1998-08-20").cast("timestamp"))).select(F.col("o_orderkey").alias("request_id"), F.col("scope").alias("paths"))
     return events.lease_conflicts(leases, wanted, now).select("request_id", "lease_id", F.array_join("paths", ",").alias("paths"))
 
 
@@ -186,7 +186,7 @@ walk AS (
   SELECT workspace_id, n, key, section, cost, cost <= 3000 AS included, CASE WHEN cost <= 3000 THEN cost ELSE 0 END AS used FROM numbered WHERE n = 1
   UNION ALL SELECT i.workspace_id, i.n, i.key, i.section, i.cost, i.cost <= 3000 - w.used, w.used + CASE WHEN i.cost <= 3000 - w.used THEN i.cost ELSE 0 END
   FROM walk w JOIN numbered i ON i.workspace_id = w.workspace_id AND i.n = w.n + 1)"""
-_MARKS = "marks AS (SELECT user_id, event_id, event_type, epoch_ms(ts) AS ms FROM events), segments AS (SELECT user_id, ms AS start_ms, ms + 3600000 AS end_ms, event_id AS ord, event_type AS text FROM marks)"
+_MARKS = "marks AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), segments AS (SELECT user_id, ms AS start_ms, ms + 3600000 AS end_ms, event_id AS ord, event_type AS text FROM marks)"
 _BOUNDS = f"""{_MARKS}, spans AS (SELECT user_id, min(ms) AS first, max(ms) - min(ms) AS duration FROM marks WHERE event_type = 'signup' GROUP BY 1),
 known AS (SELECT user_id, ms - first AS boundary FROM marks JOIN spans USING (user_id) WHERE event_type = 'signup' UNION SELECT user_id, 0 FROM spans UNION SELECT user_id, greatest(duration, 0) FROM spans),
 laid AS (SELECT user_id, boundary, lag(boundary) OVER (PARTITION BY user_id ORDER BY boundary) AS before FROM known),
@@ -214,7 +214,7 @@ t AS (SELECT current_path AS path, max(id) AS h FROM latest WHERE status = 'curr
 SELECT * FROM (SELECT path, CASE WHEN t.h IS NULL THEN 'created' WHEN d.h IS NULL THEN 'deleted' WHEN t.h <> d.h THEN 'updated' END AS change FROM d FULL OUTER JOIN t USING (path)) WHERE change IS NOT NULL""",
     "lease_conflicts": """WITH l AS (SELECT o_orderkey AS k, o_orderdate AS d, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT a.k AS request_id, b.k AS lease_id, array_to_string(list_sort(list(DISTINCT a.p)), ',') AS paths FROM l a JOIN l b ON a.p = b.p AND a.k <> b.k
-WHERE a.d >= date '1998-07-20' AND CAST(b.d AS DATE) + 14 > date '1998-07-20' GROUP BY 1, 2""",
+WHERE a.d > date '1998-07-20' AND a.d <= date '1998-08-20' AND b.d <= date '1998-07-20' AND CAST(b.d AS DATE) + 14 > date '1998-07-20' GROUP BY 1, 2""",
     "brief_fit": f"WITH RECURSIVE {_BRIEF} SELECT workspace_id, key, section, cost, included FROM walk",
     "brief_omitted": f"WITH RECURSIVE {_BRIEF} SELECT workspace_id, section, count(*) AS omitted FROM walk WHERE NOT included GROUP BY 1, 2",
     "packed_chunks": r"""WITH RECURSIVE c AS (SELECT file_id, ordinal, max(CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(regexp_replace(text, '[\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) // 3) END) AS cost FROM chunks WHERE file_id IS NOT NULL GROUP BY 1, 2),
