@@ -37,24 +37,26 @@ def label_by_overlap(segments: DataFrame, speakers: DataFrame, key: str, bucket:
     Of equal overlaps the one examined last that begins before the segment holds, else the first; ``ordinal`` is the
     order of examination. That rule is a fold over the few intervals at the top.
     """
-    pairs = overlap_join(segments, speakers, key, bucket)
+    segments = segments.select(key, "start_ms", "end_ms")
+    pairs = overlap_join(segments, speakers.select(key, "start_ms", "end_ms", "label", "ordinal"), key, bucket)
     best = Window.partitionBy(F.col(f"l.{key}"), F.col("l.start_ms"), F.col("l.end_ms"))
     top = pairs.withColumn("most", F.max("overlap").over(best)).where(F.col("overlap") == F.col("most"))
     early = F.col("r.start_ms") < F.col("l.start_ms")
     # The first at the maximum is taken; later equal ones replace it only if they begin before the segment.
-    chosen = top.groupBy(F.col(f"l.{key}").alias("k"), F.col("l.start_ms").alias("s"), F.col("l.end_ms").alias("e")).agg(
+    chosen = top.groupBy(F.col(f"l.{key}").alias("_key"), F.col("l.start_ms").alias("_start"), F.col("l.end_ms").alias("_end")).agg(
         F.coalesce(F.max_by(F.when(early, F.col("r.label")), F.when(early, F.col("r.ordinal"))), F.min_by("r.label", "r.ordinal")).alias("label")
     )
-    return segments.join(chosen, (F.col(key) == F.col("k")) & (F.col("start_ms") == F.col("s")) & (F.col("end_ms") == F.col("e")), "left").select(key, "start_ms", "end_ms", "label")
+    return segments.join(chosen, (F.col(key) == F.col("_key")) & (F.col("start_ms") == F.col("_start")) & (F.col("end_ms") == F.col("_end")), "left").select(key, "start_ms", "end_ms", "label")
 
 
 def texts_in(scenes: DataFrame, segments: DataFrame, key: str, bucket: int = 10_000) -> DataFrame:
     """``key, start_ms, segments, text``: per scene the texts of overlapping segments in their order, by lines; empty if none."""
-    pairs = overlap_join(scenes.select(key, "start_ms", "end_ms"), segments.select(key, "start_ms", "end_ms", "ord", "text"), key, bucket)
+    scenes = scenes.select(key, "start_ms", "end_ms")
+    pairs = overlap_join(scenes, segments.select(key, "start_ms", "end_ms", "ord", "text"), key, bucket)
     # Segments of one scene only, so the list is bounded by what a scene holds.
-    joined = pairs.groupBy(F.col(f"l.{key}").alias("k"), F.col("l.start_ms").alias("s")).agg(F.array_sort(F.collect_list(F.struct(F.col("r.ord").alias("o"), F.col("r.text").alias("t")))).alias("x"))
-    found = joined.select("k", "s", F.size("x").alias("segments"), F.array_join(F.transform("x", lambda p: p["t"]), "\n").alias("text"))
-    return scenes.join(found, (F.col(key) == F.col("k")) & (F.col("start_ms") == F.col("s")), "left").select(key, "start_ms", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = pairs.groupBy(F.col(f"l.{key}").alias("_key"), F.col("l.start_ms").alias("_start")).agg(F.array_sort(F.collect_list(F.struct(F.col("r.ord").alias("o"), F.col("r.text").alias("t")))).alias("x"))
+    found = joined.select("_key", "_start", F.size("x").alias("segments"), F.array_join(F.transform("x", lambda p: p["t"]), "\n").alias("text"))
+    return scenes.join(found, (F.col(key) == F.col("_key")) & (F.col("start_ms") == F.col("_start")), "left").select(key, "start_ms", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def filled_boundaries(boundaries: DataFrame, durations: DataFrame, key: str, most: int) -> DataFrame:

@@ -12,7 +12,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # First bytes of a format (offset, hex) and its media type.
 SIGNATURES = [
@@ -125,7 +124,7 @@ def zip_report(data: bytes) -> tuple[str | None, bool]:
     return kind, any(i.flag_bits & 1 for i in infos)
 
 
-_DESCRIPTION = T._parse_datatype_string("path string, media_type string, width bigint, height bigint, duration_ms bigint, pages int, encrypted boolean, mismatch boolean")
+_DESCRIPTION = "path string, media_type string, width bigint, height bigint, duration_ms bigint, pages int, encrypted boolean, mismatch boolean"
 
 
 def describe(files: DataFrame) -> DataFrame:
@@ -155,8 +154,7 @@ def describe(files: DataFrame) -> DataFrame:
                         mime = office or mime
                 known = SUFFIXES.get(path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
                 out.append((path, mime, w, h, ms, pages, encrypted, known is not None and mime is not None and known != mime))
-            frame = pd.DataFrame(out, columns=_DESCRIPTION.names, dtype=object)
-            yield frame
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _DESCRIPTION.split(", ")], dtype=object)
 
     return ready.mapInPandas(run, _DESCRIPTION)
 

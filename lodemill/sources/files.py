@@ -14,7 +14,7 @@ EXCLUDE = ["**/.git/**", "**/node_modules/**", "**/.venv/**", "**/__pycache__/**
 def scan(spark: SparkSession, root: str, include: list[str] = INCLUDE, exclude: list[str] = EXCLUDE, content: bool = True) -> DataFrame:
     """``path, name, suffix, size_bytes, mtime`` and, if asked for, ``content`` and ``content_hash`` of files below a folder.
 
-    Without the content only the listing is read. A missing folder has no files.
+    Without the content only the listing is read. A missing folder has no files; empty files are not listed.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
