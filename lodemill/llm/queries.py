@@ -69,8 +69,8 @@ def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P4 = """
 WITH RECURSIVE links AS (
   SELECT DISTINCT src AS a, dst AS b FROM (
-    SELECT src, dst FROM duplicates WHERE src <> dst AND similarity BETWEEN 0.8 AND 1.0 AND NOT isnan(similarity)
-    UNION ALL SELECT dst, src FROM duplicates WHERE src <> dst AND similarity BETWEEN 0.8 AND 1.0 AND NOT isnan(similarity))
+    SELECT src, dst FROM duplicates WHERE src <> dst AND similarity BETWEEN 0.8 AND 1.0 AND similarity::varchar <> 'nan'
+    UNION ALL SELECT dst, src FROM duplicates WHERE src <> dst AND similarity BETWEEN 0.8 AND 1.0 AND similarity::varchar <> 'nan')
   WHERE src IN (SELECT id FROM files) AND dst IN (SELECT id FROM files)),
 reach(file_id, other) AS (
   SELECT a, a FROM links UNION SELECT reach.file_id, links.b FROM reach JOIN links ON reach.other = links.a)
@@ -80,16 +80,16 @@ SELECT file_id, min(other) AS group_id FROM reach GROUP BY file_id
 
 def chunk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct chunks with the limits of their file's mime, or of ``default`` where file, mime or row is missing."""
-    limits = table(spark, sf_dir, "chunking_thresholds").where(F.col("media_type").isNotNull()).dropDuplicates(["media_type"])
     columns = ["target_tokens", "overlap", "separator_hierarchy"]
-    mimes = table(spark, sf_dir, "files").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("f")).agg(F.max("mime").alias("mime"))
-    own = mimes.join(limits.select(F.col("media_type").alias("m"), F.struct(*columns).alias("own")), F.col("mime") == F.col("m")).select("f", "own")
-    usual = limits.where(F.col("media_type") == "default").select(F.struct(*columns).alias("usual"))
-    least = limits.agg(F.min("target_tokens").alias("least"))
-    # Texts within the least of all limits are cut under none, so they need not be joined.
-    chunks = table(spark, sf_dir, "chunks").select("id", "file_id", "text").crossJoin(F.broadcast(least)).where(splitting.token_count(F.col("text")) > F.col("least"))
-    joined = chunks.join(own, F.col("file_id") == F.col("f"), "left").join(F.broadcast(usual.limit(1)), F.lit(True), "left")
-    return joined.select("id", "text", F.coalesce("own", "usual").alias("l")).select("id", "text", "l.*")
+    limits = table(spark, sf_dir, "chunking_thresholds").where(F.col("media_type").isNotNull()).groupBy("media_type").agg(F.max(F.struct(*columns)).alias("own"))
+    # Two values of a small table: the least limit, below which no text is joined, and the limits that hold by default.
+    known = limits.agg(F.min("own.target_tokens").alias("least"), F.max(F.when(F.col("media_type") == "default", F.col("own"))).alias("usual")).first()
+    usual = F.struct(F.lit(known.usual[0]).cast("int").alias(columns[0]), F.lit(known.usual[1]).cast("int").alias(columns[1]), F.array(*map(F.lit, known.usual[2] or [""])).alias(columns[2])) if known.usual else F.lit(None).cast("struct<target_tokens:int,overlap:int,separator_hierarchy:array<string>>")
+    mimes = table(spark, sf_dir, "files").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("file")).agg(F.max("mime").alias("mime"))
+    own = mimes.join(limits, F.col("mime") == F.col("media_type")).select("file", "own")
+    chunks = table(spark, sf_dir, "chunks").select("id", "file_id", "text").where(splitting.token_count(F.col("text")) > (known.least if known.least is not None else 0))
+    joined = chunks.join(own, F.col("file_id") == F.col("file"), "left")
+    return joined.select("id", "text", F.coalesce("own", usual).alias("limits")).select("id", "text", "limits.*")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
