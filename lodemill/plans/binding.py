@@ -64,7 +64,7 @@ LATEST_FILES = """latest_files AS (
 EDGES = f"""{LATEST_FILES},
 mentions AS (SELECT DISTINCT id AS file_id, unnest(string_split(path, '/')[3:4]) AS entity, least(1.0::double, coalesce(size_bytes, 0)::double / 4000000) AS weight FROM latest_files),
 about AS (SELECT DISTINCT id AS file_id, unnest([lower(regexp_extract(string_split(path, '/')[-1], '(\\.[^./]+)$', 1)), coalesce(year(last_indexed_at)::varchar, 'never')]) AS topic, 1.0::double AS weight FROM latest_files),
-dups AS (SELECT src, dst, max(similarity) AS similarity FROM duplicates WHERE src <> dst AND similarity BETWEEN 0 AND 1 AND NOT isnan(similarity) GROUP BY src, dst),
+dups AS (SELECT src, dst, max(similarity) AS similarity FROM duplicates WHERE src <> dst AND similarity BETWEEN 0 AND 1 AND similarity::varchar <> 'nan' GROUP BY src, dst),
 intents AS (
   SELECT DISTINCT source_id, trim(reference) AS reference FROM (
     SELECT src AS source_id, name AS reference FROM dups JOIN latest_files ON dst = id

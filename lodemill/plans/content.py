@@ -32,9 +32,11 @@ def files_work_list(spark, sf_dir) -> DataFrame:
 
 
 def files_status_page(spark, sf_dir) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks").agg(F.countDistinct("id").alias("chunks"))
+    """One row about all files and chunks: two aggregates laid on top of each other, each null where the other tells."""
+    names = ["files", "indexed", "failed", "bytes", "waiting", "chunks"]
     f = _files(spark, sf_dir).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "error").alias("failed"), F.sum("size_bytes").alias("bytes"), F.bool_or(F.col("last_indexed_at").isNull()).alias("waiting"))
-    return f.crossJoin(chunks)  # two single rows
+    c = table(spark, sf_dir, "chunks").agg(F.countDistinct("id").alias("chunks"))
+    return f.unionByName(c, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
 
 def files_matching(spark, sf_dir) -> DataFrame:

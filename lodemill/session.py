@@ -5,14 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver does, if that place is theirs as well.
+
+    On a cluster without a shared home, hand the package over with ``--py-files``.
+    """
+    home = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, paths) if p)
+
+
 def local_session(app: str = "lodemill", cores: str | None = None) -> SparkSession:
     """A session for tests and benches on one machine. On a cluster pass your own session instead."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
@@ -23,6 +35,8 @@ def local_session(app: str = "lodemill", cores: str | None = None) -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
