@@ -128,3 +128,71 @@ def is_within(path: Column, scope: Column) -> Column:
     """Equal to the scope or below it."""
     scope = F.rtrim(scope, F.lit("/"))
     return (path == scope) | path.startswith(F.concat(scope, F.lit("/")))
+
+
+def truncated_bytes(text: Column, limit: int) -> Column:
+    """At most so many bytes of UTF-8, cut between characters."""
+    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", "")
+
+
+def word_error_rate(found: Column, truth: Column) -> Column:
+    """Edits of words over the words of the truth; it can exceed 1. 0 for an empty truth.
+
+    Words become characters of the private use area by their place among the distinct words of both lists; lists with
+    more than 6400 distinct words have a null rate.
+    """
+    known = F.array_distinct(F.concat(found, truth))
+    spell = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0xDFFF)), "UTF-16BE")), "")
+    rate = F.levenshtein(spell(found), spell(truth)) / F.size(truth)
+    return F.when(F.size(truth) == 0, 0.0).when(F.size(known) <= 6400, rate)
+
+
+def digest(*columns: Column) -> Column:
+    """The hash of the columns as one JSON object, nulls written out."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+_EXTRACTION = "struct<summary:string,entities:array<struct<name:string,kind:string>>,topics:array<string>,references:array<string>>"
+
+
+def gated_extraction(json: Column) -> Column:
+    """A model's answer as a struct if it has exactly the four keys and every entity a name and a kind; else null.
+
+    The answer may stand in a fenced block or be a JSON string that holds the object.
+    """
+    bare = strip_code_fence(json)
+    inner = F.get_json_object(F.concat(F.lit('{"x":'), bare, F.lit("}")), "$.x")
+    text = F.when(bare.startswith('"'), inner).otherwise(bare)
+    parsed = F.from_json(text, _EXTRACTION)
+    keys = F.array_sort(F.json_object_keys(text))
+    exact = keys == F.array(*map(F.lit, ("entities", "references", "summary", "topics")))
+    fit = parsed["summary"].isNotNull() & parsed["topics"].isNotNull() & parsed["references"].isNotNull() & parsed["entities"].isNotNull()
+    named = F.forall(parsed["entities"], lambda e: e["name"].isNotNull() & e["kind"].isNotNull())
+    return F.when(exact & fit & named, parsed)
+
+
+_SEGMENTS = "array<struct<start_ms:bigint,end_ms:bigint,text:string,kind:string,confidence:double,language:string>>"
+
+
+def parsed_segments(json: Column) -> Column:
+    """Transcript segments with a positive length whose kinds without speech carry no text; null if any breaks this."""
+    segments = F.from_json(json, _SEGMENTS)
+    fits = F.forall(segments, lambda s: s["start_ms"].isNotNull() & (s["end_ms"] > s["start_ms"]) & ((s["kind"] == "speech") | (F.coalesce(F.trim(s["text"]), F.lit("")) == "")))
+    return F.when(fits, segments)
+
+
+def is_anonymous_speaker(label: Column) -> Column:
+    return label.rlike(r"^SPEAKER_[0-9]+$")
+
+
+def rendered_prompt(question: Column, files: Column, chunks: Column, relations: Column) -> Column:
+    """A question with its evidence: ``files`` (path, summary), ``chunks`` (id, text) and ``relations`` (texts) as lists."""
+    part = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
+    return F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("Question: "), question),
+        part("Files:", F.transform(files, lambda f: F.concat(F.lit("- "), f["path"], F.lit(": "), F.coalesce(f["summary"], F.lit(""))))),
+        part("Evidence (untrusted):", F.transform(chunks, lambda c: F.concat(F.lit("["), c["id"], F.lit("] "), c["text"]))),
+        part("Relations:", relations),
+    )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.plans import changefeed, content, retrieval, state
+from lodemill.plans import changefeed, content, indexing, retrieval, state
 
-_MODULES = [retrieval, content, state, changefeed]
+_MODULES = [retrieval, content, state, indexing, changefeed]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
