@@ -185,8 +185,8 @@ def _packed(spans: list[tuple[list[int], int, int]]) -> tuple[np.ndarray, np.nda
     return used, place.reshape(index.shape), mask
 
 
-def score_texts(net: Net, texts: list, batch: int = 2048) -> np.ndarray:
-    """The highest score of any window of each text by category; zeros for a text without words."""
+def score_texts(nets: list[Net], texts: list, batch: int = 2048) -> np.ndarray:
+    """The highest score of any window of each text by category, by the mean of the networks; zeros for a text without words."""
     vocabulary = Words()
     numbered = [vocabulary.numbers(tokens(t)) for t in texts]
     spans = [(n, a, b) for n in numbered for a, b in windows(len(n))]
@@ -194,8 +194,8 @@ def score_texts(net: Net, texts: list, batch: int = 2048) -> np.ndarray:
     out = np.zeros((len(texts), len(CATEGORIES)), np.float32)
     for low in range(0, len(spans), batch):
         used, index, mask = _packed(spans[low : low + batch])
-        x, _ = net.inputs(vocabulary, used)
-        np.maximum.at(out, owner[low : low + batch], sigmoid(net.forward(x, index, mask)))
+        logits = sum(net.forward(net.inputs(vocabulary, used)[0], index, mask) for net in nets) / len(nets)
+        np.maximum.at(out, owner[low : low + batch], sigmoid(logits))
     return out
 
 
@@ -238,38 +238,19 @@ class Trainer:
         self.net.p[name][distinct] -= self.row_rate * summed / np.sqrt(self.rows[name][distinct])[:, None]
 
 
-def train(texts: list, targets: np.ndarray, epochs: int = 10, batch: int = 128, seed: int = 3) -> tuple[Net, np.ndarray]:
-    """A network and a threshold per category from texts and the share of reviewers who saw each category in them.
+def train(texts: list, targets: np.ndarray, epochs: int = 10, batch: int = 128, seeds: tuple[int, ...] = (3, 5)) -> list[Net]:
+    """Networks that differ in their random start, from texts and the share of reviewers who saw each category in them.
 
     Shares of one half tell nothing and have no weight. In the first epochs the window of a label is the one whose
-    words are most typical of labelled texts, then the one that the network scores highest. A fifth of the texts is
-    held out in a first run to choose the thresholds; the network is then trained on all.
+    words are most typical of labelled texts, then the one that the network scores highest. What networks learn by
+    heart from mistaken labels differs, so their mean is better than each.
     """
-    rng = np.random.default_rng(seed)
-    fold = rng.permutation(len(texts)) % 5 == 0
-    thresholds = np.full(len(CATEGORIES), 0.5)
-    if (targets[fold] > 0.5).any(axis=0).all() and (targets[~fold] > 0.5).any(axis=0).all():
-        half = _fit([t for t, f in zip(texts, fold) if not f], targets[~fold], epochs, batch, seed)
-        thresholds = best_thresholds(score_texts(half, [t for t, f in zip(texts, fold) if f]), targets[fold])
-    return _fit(texts, targets, epochs, batch, seed), thresholds
-
-
-def best_thresholds(scores: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Per category the threshold nearest to one half, between 0.3 and 0.9, of those whose F1 is within 0.01 of the best."""
-    grid = np.linspace(0.3, 0.9, 25)
-    out = []
-    for c in range(scores.shape[1]):
-        sure = targets[:, c] != 0.5
-        y, s = targets[sure, c] > 0.5, scores[sure, c]
-        f1 = np.array([2 * (y & (s >= t)).sum() / max(1, y.sum() + (s >= t).sum()) for t in grid])
-        good = grid[f1 >= f1.max() - 0.01]
-        out.append(float(good[np.argmin(np.abs(good - 0.5))]))
-    return np.array(out)
+    return [_fit(texts, targets, epochs, batch, seed) for seed in seeds]
 
 
 def _fit(texts: list, targets: np.ndarray, epochs: int, batch: int, seed: int) -> Net:
     rng = np.random.default_rng(seed)
-    net, vocabulary = Net(), Words()
+    net, vocabulary = Net(seed=seed), Words()
     trainer = Trainer(net)
     numbered = [vocabulary.numbers(tokens(t)) for t in texts]
     spans = [(n, a, b) for n in numbered for a, b in windows(len(n))]
@@ -341,21 +322,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_labelled: int = 800
     seen = known.groupBy("doc_id", "reviewer").agg(*[F.max((F.col("category") == c).cast("double")).alias(c) for c in CATEGORIES])
     shares = seen.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = docs.select(F.col("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = shares.join(texts, "doc_id").orderBy("doc_id").limit(most_labelled).collect()
+    # The sample has a bound, so that sending it to all tasks spares a shuffle of the texts.
+    rows = texts.join(F.broadcast(shares), "doc_id").orderBy("doc_id").limit(most_labelled).collect()
     return [r.text for r in rows], np.array([[r[c] for c in CATEGORIES] for r in rows], dtype=np.float32).reshape(-1, len(CATEGORIES))
 
 
-def score_documents(docs: DataFrame, net: Net, thresholds: np.ndarray) -> DataFrame:
+def score_documents(docs: DataFrame, nets: list[Net], threshold: float = 0.5) -> DataFrame:
     """``doc_id``, the score of each category, and ``categories``, those whose score reaches the threshold.
 
     A null or empty text scores 0; rows without id are left out; further columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((net.p, net.sizes, thresholds))
+    shared = docs.sparkSession.sparkContext.broadcast([(net.p, net.sizes) for net in nets])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, sizes, limit = shared.value
-        here = Net.__new__(Net)
-        here.p, here.sizes = p, sizes
+        here = []
+        for p, sizes in shared.value:
+            net = Net.__new__(Net)
+            net.p, net.sizes = p, sizes
+            here.append(net)
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low : low + 1000]
@@ -363,7 +347,7 @@ def score_documents(docs: DataFrame, net: Net, thresholds: np.ndarray) -> DataFr
                 out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy()})
                 for c, name in enumerate(CATEGORIES):
                     out[name] = scores[:, c].astype(float)
-                out["categories"] = [[name for c, name in enumerate(CATEGORIES) if s[c] >= limit[c]] for s in scores]
+                out["categories"] = [[name for c, name in enumerate(CATEGORIES) if s[c] >= threshold] for s in scores]
                 yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -375,8 +359,8 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, epochs
     """:func:`score_documents` with a network trained on the labels. Without labelled documents every score is that of an untrained network and no category is given."""
     texts, targets = labelled_sample(docs, labels, most_labelled)
     if not len(texts):
-        return score_documents(docs, Net(), np.full(len(CATEGORIES), 2.0))
-    return score_documents(docs, *train(texts, targets, epochs))
+        return score_documents(docs, [Net()], 2.0)
+    return score_documents(docs, train(texts, targets, epochs))
 
 
 def rates(docs: DataFrame, scores: DataFrame) -> DataFrame:
