@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.functions import text as t
-from lodemill.operators import chunking, events, joins, records
+from lodemill.operators import chunking, events, joins, media, records
 from lodemill.plans import changefeed, state
 from lodemill.session import table
 
@@ -109,7 +109,17 @@ def workspace_brief(spark, sf_dir) -> DataFrame:
     return last.join(fit, "workspace_id", "left").join(lag, "workspace_id", "left")
 
 
-QUERIES = {f.__name__: f for f in (index_batch, index_hashes, index_work, pipelines_resolved, fingerprints, last_view, dependency_findings, edges_between_records, correlated_changes, reconcile_actions, recovery_stats, workspace_brief)}
+def media_dimensions(spark, sf_dir) -> DataFrame:
+    """Image headers made of the sizes that metadata tells, read back by the header's own format."""
+    m = table(spark, sf_dir, "representations").where((F.col("kind") == "metadata") & F.col("id").isNotNull()).select("id", F.from_json("textual_payload", "struct<width:int,height:int>").alias("m")).where(F.col("m.width").isNotNull() & F.col("m.height").isNotNull()).distinct()
+    wide = lambda c: F.lpad(F.hex(F.col(c)), 8, "0")
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide("m.width"), wide("m.height"), F.lit("0806000000")))
+    rows = m.select("id", header.alias("content"))
+    size = media.dimensions(F.col("content"))
+    return rows.select("id", media.media_type(F.col("content")).alias("media_type"), size["width"].alias("width"), size["height"].alias("height"))
+
+
+QUERIES = {f.__name__: f for f in (index_batch, index_hashes, index_work, pipelines_resolved, fingerprints, last_view, dependency_findings, edges_between_records, correlated_changes, reconcile_actions, recovery_stats, workspace_brief, media_dimensions)}
 
 _LATEST = "latest AS (SELECT * FROM resources WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_sequence DESC NULLS LAST, state_version DESC NULLS LAST, status DESC NULLS LAST, current_path DESC NULLS LAST) = 1)"
 SQL = {
@@ -127,6 +137,7 @@ SELECT id, expected, actual, CASE WHEN expected IS NULL THEN CASE WHEN resource_
     "correlated_changes": "SELECT correlation_id, count(*) AS events, count(DISTINCT resource_id) AS resources, min(sequence) AS first, max(sequence) AS last FROM (SELECT workspace_id, sequence, max(correlation_id) AS correlation_id, max(resource_id) AS resource_id FROM workspace_events WHERE correlation_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "reconcile_actions": "WITH e AS (SELECT workspace_id, sequence, max(correlation_id) AS c FROM workspace_events GROUP BY 1, 2), g AS (SELECT *, sequence <> lag(sequence) OVER (PARTITION BY workspace_id ORDER BY sequence) + 1 AS gap FROM e) SELECT workspace_id, CASE WHEN gap THEN 'full_scan' WHEN c IS NULL THEN 'external' ELSE 'governed' END AS action, count(*) AS events FROM g GROUP BY 1, 2",
     "recovery_stats": "SELECT kind, count(*) AS rows, sum(blob_byte_count)::bigint AS bytes, count(*) FILTER (created_at <= timestamptz '2025-06-01 00:00:00+00') AS expired, count(DISTINCT blob_hash) AS blobs, count(*) - count(DISTINCT blob_hash) AS shared FROM (SELECT DISTINCT id, kind, blob_hash, blob_byte_count, created_at FROM representations WHERE blob_hash IS NOT NULL AND id IS NOT NULL) GROUP BY 1",
+    "media_dimensions": "SELECT DISTINCT id, 'image/png' AS media_type, CAST(json_extract(textual_payload, '$.width') AS BIGINT) AS width, CAST(json_extract(textual_payload, '$.height') AS BIGINT) AS height FROM representations WHERE kind = 'metadata' AND id IS NOT NULL AND json_valid(textual_payload) AND json_extract(textual_payload, '$.width') IS NOT NULL AND json_extract(textual_payload, '$.height') IS NOT NULL",
     "workspace_brief": f"""SELECT workspace_id, last_sequence, included, omitted, bytes_used, lag FROM ({state.SQL["event_next_sequence"]})
 LEFT JOIN (SELECT workspace_id, count(*) FILTER (included) AS included, count(*) FILTER (NOT included) AS omitted, sum(CASE WHEN included THEN cost ELSE 0 END)::bigint AS bytes_used FROM ({state.SQL["brief_fit"]}) GROUP BY 1) USING (workspace_id)
 LEFT JOIN (SELECT workspace_id, sum(lag)::bigint AS lag FROM ({state.SQL["projection_freshness"]}) GROUP BY 1) USING (workspace_id)""",
