@@ -57,14 +57,15 @@ def shard_tree(vectors: list[bytes], shards: int, k: int, factor: float) -> tupl
     return Tree(fitted, -(-len(fitted) // max(1, min(shards, len(fitted) // 16))), margin), margin
 
 
-def nearest_points(points: DataFrame, top, margin: float, k: int, factor: float = FACTOR, bucket: int = BUCKET, most: int = 65_536) -> DataFrame:
+def nearest_points(points: DataFrame, top, margin: float, k: int, factor: float = FACTOR, bucket: int = BUCKET, most: int = 65_536, scratch: Scratch | None = None) -> DataFrame:
     """``no, hits array<struct<square, no>>``: the k nearest other points of each of ``points(no, vec, leaf)``.
 
     ``vec`` is the packed little-endian float32 vector, ``leaf`` where the broadcast tree ``top`` puts it; no two points
-    should be equal. ``points`` is read several times and should be a written table.
+    should be equal. ``points`` is read several times and should be a written table; if ``scratch`` wrote it, it is
+    dropped when the homes are searched, which keep all that is needed of it.
     """
     spark = points.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     sizes = points.groupBy("leaf").count().collect()  # one row a shard of the tree
     parts = {r["leaf"]: -(-r["count"] // most) for r in sizes}
     known = spark.sparkContext.broadcast(parts)
@@ -74,6 +75,7 @@ def nearest_points(points: DataFrame, top, margin: float, k: int, factor: float
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = home.repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "no")
     first = scratch.write(keyed.mapInPandas(_search_home(k, factor, bucket, margin), "leaf bigint, part bigint, no bigint, vec binary, reach double, square array<double>, number array<bigint>"))
+    scratch.drop(points)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,7 +208,7 @@ def nearest_vectors(items: DataFrame, item_id: str = "id", vector: str = "vector
     lists = scratch.write(few.orderBy(F.element_at("ids", 1)).withColumn("no", F.monotonically_increasing_id()))
     body = usable.groupBy("h").agg(F.first("vec").alias("vec"))
     points = body.join(lists.select("h", "no"), "h").select("no", "vec").mapInPandas(place, "no bigint, vec binary, leaf bigint")
-    found = nearest_points(scratch.write(points), top, margin, k, factor, bucket, most)
+    found = nearest_points(scratch.write(points), top, margin, k, factor, bucket, most, scratch)
     points = lists
     ids = points.select(F.col("no").alias("n_no"), F.col("ids").alias("n_ids"))
     near = (
