@@ -140,13 +140,16 @@ class NearDuplicates:
         self.records = records.select("kind", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
         signed = self.records.mapInPandas(_signed(shingle, least_words, bands, rows), "kind string, id string, cls binary, keys array<bigint>, sketch array<bigint>")
         signed = self.scratch.write(signed)
-        self.members = signed.select("kind", "cls", "id")
+        members = signed.select("kind", "cls", "id")
         order = Window.partitionBy("kind", "cls").orderBy("id")
-        few = self.members.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= REPRESENTATIVES)
+        few = members.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= REPRESENTATIVES)
         few = few.groupBy("kind", "cls").agg(F.sort_array(F.collect_set("id")).alias("reps"))
         body = signed.groupBy("kind", "cls").agg(F.first(F.struct("keys", "sketch")).alias("b"))
         classes = few.join(body, ["kind", "cls"]).select("kind", "cls", "reps", "b.keys", "b.sketch")
         self.classes = self.scratch.write(classes.withColumn("no", F.monotonically_increasing_id()))
+        # Keys are kept once per class only: of the records the class is enough.
+        self.members = self.scratch.write(members)
+        self.scratch.drop(signed)
         self.pairs = self.scratch.write(self._verified(shingle, least, sketch_limit(bands * rows, least)))
 
     def _candidates(self) -> DataFrame:
