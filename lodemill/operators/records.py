@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 PUBLISHABLE = ("indexed", "stale")
 
 
-def latest_files(files: DataFrame) -> DataFrame:
+def latest_files(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per id: the one indexed last, then changed last; the rest of the order makes it the same on every run.
 
-    An aggregate over structs, so that repeated rows fold before the shuffle. Rows without id are left out.
+    An aggregate over structs, so that repeated rows fold before the shuffle. ``keep``: further columns that are
+    wanted, all if not told; no others are read. Rows without id are left out.
     """
     lead = ["last_indexed_at", "mtime", "size_bytes", "content_hash", "path", "status"]
-    rest = [c for c in files.columns if c not in lead and c != "id"]
+    rest = [c for c in files.columns if c not in lead and c != "id" and (keep is None or c in keep)]
     best = files.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct(*lead, *rest)).alias("r"))
-    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in files.columns if c != "id"]).select(*files.columns)
+    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in [*lead, *rest]])
 
 
 def count_by_status(files: DataFrame) -> DataFrame:

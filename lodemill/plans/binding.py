@@ -12,7 +12,7 @@ from lodemill.session import table
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_files(table(spark, sf_dir, "files")).withColumnRenamed("id", "file_id")
+    return latest_files(table(spark, sf_dir, "files"), ["name", "summary"]).withColumnRenamed("id", "file_id")
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

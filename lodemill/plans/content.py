@@ -15,8 +15,8 @@ from lodemill.session import table
 GLOBS = ["**/*.md", "*.pdf", "/vault/t*/*", "audit_?*_[0-9]*.json"]
 
 
-def _files(spark, sf_dir) -> DataFrame:
-    return records.latest_files(table(spark, sf_dir, "files"))
+def _files(spark, sf_dir, *keep: str) -> DataFrame:
+    return records.latest_files(table(spark, sf_dir, "files"), list(keep))
 
 
 def files_latest(spark, sf_dir) -> DataFrame:
@@ -97,14 +97,14 @@ def document_chunks(spark, sf_dir) -> DataFrame:
 
 def duplicate_text_scores(spark, sf_dir) -> DataFrame:
     """How alike the summaries of linked files are."""
-    f = _files(spark, sf_dir).where(F.col("summary").isNotNull()).select("id", t.word_list(F.lower("summary")).alias("w"))
+    f = _files(spark, sf_dir, "summary").where(F.col("summary").isNotNull()).select("id", t.word_list(F.lower("summary")).alias("w"))
     pairs = table(spark, sf_dir, "duplicates").where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
     both = pairs.join(f.select(F.col("id").alias("src"), F.col("w").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("w").alias("b")), "dst")
     return both.select("src", "dst", F.round(t.positional_accuracy(F.col("a"), F.col("b")), 6).alias("positional"), F.round(t.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
 def duplicate_error_rates(spark, sf_dir) -> DataFrame:
-    f = _files(spark, sf_dir).where(F.col("summary").isNotNull()).select("id", "summary")
+    f = _files(spark, sf_dir, "summary").where(F.col("summary").isNotNull()).select("id", "summary")
     pairs = table(spark, sf_dir, "duplicates").where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
     both = pairs.join(f.select(F.col("id").alias("src"), F.col("summary").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("summary").alias("b")), "dst")
     return both.select("src", "dst", F.round(t.character_error_rate(F.col("a"), F.col("b")), 6).alias("error_rate"))
