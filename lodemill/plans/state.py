@@ -105,16 +105,29 @@ def resource_reconcile(spark, sf_dir) -> DataFrame:
     return records.reconcile(disk, tracked)
 
 
-def lease_conflicts(spark, sf_dir) -> DataFrame:
-    """Orders hold leases on their parts for fourteen days; later orders ask for theirs."""
+def _lease_time():
+    return F.lit("1998-07-20").cast("timestamp")
+
+
+def _lease_conflicts(spark, sf_dir, asked) -> DataFrame:
+    now = _lease_time()
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("scope"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    now = F.lit("1998-07-20").cast("timestamp")
     leases = orders.where(F.col("o_orderdate") <= now).select(F.col("o_orderkey").alias("lease_id"), "scope", F.lit("active").alias("status"), F.date_add(F.col("o_orderdate").cast("date"), 14).cast("timestamp").alias("expires_at"))
-    wanted = orders.where((F.col("o_orderdate") > now) & (F.col("o_orderdate") <= F.lit("1998-08-20").cast("timestamp"))).select(F.col("o_orderkey").alias("request_id"), F.col("scope").alias("paths"))
+    wanted = orders.where(asked).select(F.col("o_orderkey").alias("request_id"), F.col("scope").alias("paths"))
     return events.lease_conflicts(leases, wanted, now).select("request_id", "lease_id", F.array_join("paths", ",").alias("paths"))
 
 
+def lease_conflicts(spark, sf_dir) -> DataFrame:
+    """Orders hold leases on their parts for fourteen days; the orders of the month after ask for theirs, as in the SQL."""
+    return _lease_conflicts(spark, sf_dir, (F.col("o_orderdate") > _lease_time()) & (F.col("o_orderdate") <= F.lit("1998-08-20").cast("timestamp")))
+
+
+def lease_conflicts_all(spark, sf_dir) -> DataFrame:
+    """The same leases against all orders from their day on, without an end."""
+    return _lease_conflicts(spark, sf_dir, F.col("o_orderdate") >= _lease_time())
+
+
 def _brief_items(spark, sf_dir) -> DataFrame:
     """The forty newest events of each workspace as items of a brief: moves before changes before the rest."""
     recent = events.recent(_log(spark, sf_dir), 40)
@@ -173,7 +186,7 @@ def interval_spread(spark, sf_dir) -> DataFrame:
     return intervals.spread(intervals.scenes(_boundaries(spark, sf_dir), "user_id"), "user_id", "start_ms", 7)
 
 
-QUERIES = {f.__name__: f for f in (event_next_sequence, event_gaps, event_recent, event_page, event_external_changes, event_kinds, projection_freshness, projection_batch, projection_workspaces, metric_summary, metric_rate, metric_outcomes, resource_latest, resource_counts, resource_affected, resource_reconcile, lease_conflicts, brief_fit, brief_omitted, packed_chunks, interval_speakers, interval_scene_texts, interval_boundaries, interval_scenes, interval_spread)}
+QUERIES = {f.__name__: f for f in (event_next_sequence, event_gaps, event_recent, event_page, event_external_changes, event_kinds, projection_freshness, projection_batch, projection_workspaces, metric_summary, metric_rate, metric_outcomes, resource_latest, resource_counts, resource_affected, resource_reconcile, lease_conflicts, lease_conflicts_all, brief_fit, brief_omitted, packed_chunks, interval_speakers, interval_scene_texts, interval_boundaries, interval_scenes, interval_spread)}
 
 _LOG = "log AS (SELECT workspace_id, sequence, min(id) AS id, arg_min(kind, id) AS kind, arg_min(resource_id, id) AS resource_id, arg_min(occurred_at, id) AS occurred_at FROM workspace_events GROUP BY 1, 2)"
 _OUT = f"{_LOG}, outbox AS (SELECT kind AS projection, workspace_id, sequence AS id, occurred_at FROM log), offsets AS (SELECT projection, workspace_id, max(id) AS applied FROM outbox WHERE occurred_at < timestamptz '2025-06-01 00:00:00+00' GROUP BY 1, 2)"

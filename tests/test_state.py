@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemill.operators import budget, events, intervals, records, representations
 from lodemill.operators.evaluation import best_adapter, box_overlap, recall_and_rank
+from lodemill.plans import state
 
 
 def test_gaps(spark):
@@ -114,6 +115,15 @@ def test_leases(spark):
     assert [(r.request_id, r.lease_id, r.paths) for r in events.lease_conflicts(leases, wanted, F.lit(t)).collect()] == [("r", "l1", ["a", "b"])]
 
 
+def test_every_later_order_asks_for_leases(spark, tmp_path):
+    days = {1: dt.datetime(1998, 7, 10), 2: dt.datetime(1998, 7, 20), 3: dt.datetime(1998, 8, 1), 4: dt.datetime(2001, 8, 1), 5: dt.datetime(1998, 7, 6)}
+    spark.createDataFrame(list(days.items()), "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 10), (4, 10), (4, 11), (4, 11), (5, 10)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {tuple(r) for r in state.lease_conflicts_all(spark, str(tmp_path)).collect()}
+    assert found == {(2, 1, "11"), (3, 1, "10"), (4, 1, "10,11"), (4, 2, "11")}
+    assert {tuple(r) for r in state.lease_conflicts(spark, str(tmp_path)).collect()} == {x for x in found if x[0] == 3}
+
+
 def test_records(spark):
     t = dt.datetime(2025, 1, 1)
     kinds = "id string, path string, status string, content_hash string, mtime double, size_bytes long, last_indexed_at timestamp"
