@@ -6,7 +6,7 @@ known well is looked up in a trie of the vocabulary by a Levenshtein automaton t
 scanners; it counts as misread if a word that is far more frequent explains it by such confusions alone. Candidates of
 equal cost are ranked by their frequency in the language of the text.
 
-The vocabulary is counted over all texts. It is looked up once per distinct word, not per occurrence, against a trie in
+The vocabulary is counted over all distinct texts. It is looked up once per distinct word, not per occurrence, against a trie in
 parts of bounded size; only words outside the well-known ones are joined with their corrections.
 """
 
@@ -293,7 +293,8 @@ class ScannedTexts:
     """Vocabulary and corrections of a table of representations: ``id, kind, text``.
 
     Texts of the kinds in ``SCANNED`` are repaired, those of other kinds only add to the vocabulary. Null ids, kinds and
-    texts are left out; repeated rows give their defects once; other columns are ignored; an empty table gives none.
+    texts are left out; repeated rows give their defects once, and a text adds to the vocabulary once, however many copies
+    of it there are; other columns are ignored; an empty table gives none.
     ``ratio`` and ``least``: how much more frequent than a word its correction must be, and how frequent at least.
     ``part_words``: words of a trie; a larger vocabulary is searched in parts. ``well_known``: how many of the most
     frequent words every task holds; all others are joined with their corrections, and a broken word outside them is
@@ -304,7 +305,9 @@ class ScannedTexts:
         spark = texts.sparkSession
         self.scratch = Scratch(spark)
         self.texts = texts.select("id", "kind", "text").where(F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("text").isNotNull())
-        counts = self.texts.select("kind", "text").mapInPandas(_counted, "what string, lang string, word string, n bigint")
+        # A copied text counts once, else its misread words come out as frequent as the words they stand for.
+        once = self.texts.withColumn("kind", F.when(F.col("kind").isin(*SCANNED), SCANNED[0]).otherwise("")).select("kind", "text").distinct()
+        counts = once.mapInPandas(_counted, "what string, lang string, word string, n bigint")
         counts = self.scratch.write(counts.groupBy("what", "lang", "word").agg(F.sum("n").alias("n")))
         totals = self.scratch.write(counts.where(F.col("what") == "word").groupBy("word").agg(F.sum("n").alias("own"), F.max_by("lang", F.struct("n", "lang")).alias("lang")))
         asked = counts.where(F.col("what") == "broken").groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))

@@ -61,6 +61,12 @@ def test_repaired_text(spark):
     assert "Office" not in text and "31" not in text and "240" in text
 
 
+def test_copies_of_a_text_keep_their_defects(spark):
+    pages = [(f"p{i}", ("ocr_text", "extracted_text")[i % 2], "every garclener opens the harbour", 1) for i in range(80)]
+    got = defects(spark, corpus(random.Random(1)) + pages + pages[:5])
+    assert got == {(f"p{i}", 1, "misread") for i in range(80)}
+
+
 def test_nulls_empty_and_long(spark):
     assert defects(spark, []) == set()
     long = "\n".join(" ".join(random.Random(3).choices(WORDS, k=9)) for _ in range(4000))
