@@ -4,10 +4,11 @@ A page's lines are told apart by their form and their neighbours: running titles
 the end of a line are joined where the joined word is known and the compound with a hyphen is not. A word that is not
 known well is looked up in a trie of the vocabulary by a Levenshtein automaton that also knows the confusions of
 scanners; it counts as misread if a word that is far more frequent explains it by such confusions alone. Candidates of
-equal cost are ranked by their frequency in the language of the text.
+equal cost are ranked by their frequency in the language of the text; the words beside them are not looked at.
 
 The vocabulary is counted over all distinct texts. It is looked up once per distinct word, not per occurrence, against a trie in
-parts of bounded size; only words outside the well-known ones are joined with their corrections.
+parts of bounded size, and ranked per language of the texts that hold the word; only words outside the well-known ones are
+joined with their corrections, by word and language.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def language(words: list[str]) -> str:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words, broken words and compounds of a batch by language: what, language, word, count."""
+    """Words, broken words, their parts and compounds of a batch by language: what, language, word, count."""
     for batch in batches:
         seen: Counter = Counter()
         for kind, text in zip(batch["kind"], batch["text"]):
@@ -174,6 +175,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lang = language(found)
             seen.update(("word", lang, w) for w in found if not w.isdigit())
             seen.update(("broken", lang, (a + b).lower()) for a, _, b, _ in broken.values())
+            seen.update(("part", lang, w.lower()) for a, _, b, _ in broken.values() for w in (a, b))
             seen.update(("compound", lang, f"{a}-{b}".lower()) for line in lines for a, b in _COMPOUND.findall(line))
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "lang", "word", "n"])
 
@@ -252,8 +254,8 @@ class Vocabulary:
         self.words = sorted(self.total)
         self.trie = Trie(self.words)
 
-    def correct(self, word: str, lang: str, own: int, ratio: float, least: int) -> tuple | None:
-        """(correction, its count, cost, confusions) for a misread word; None if nothing explains it.
+    def correct(self, word: str, langs: list[str], own: int, ratio: float, least: int) -> list[tuple]:
+        """Per language (language, correction, its count there and in all, cost, confusions); none if nothing explains the word.
 
         A digit among letters needs no more than a known word; other words need one ``ratio`` times as frequent as
         themselves. The correction is the cheapest by confusions, then the most frequent in the language, then in all.
@@ -264,11 +266,12 @@ class Vocabulary:
         for k, (cost, plain, path) in self.trie.candidates(word).items():
             w = self.words[k]
             if plain == 0 and path and w != word and self.total[w] >= need:
-                fits.append((cost, -self.by[w].get(lang, 0), -self.total[w], w, path))
-        if not fits:
-            return None
-        cost, _, n, w, path = min(fits)
-        return w, -n, cost, path
+                fits.append((cost, w, path))
+        out = []
+        for lang in langs if fits else []:
+            cost, there, n, w, path = min((cost, -self.by[w].get(lang, 0), -self.total[w], w, path) for cost, w, path in fits)
+            out.append((lang, w, -there, -n, cost, path))
+        return out
 
 
 def _looked_up(vocabulary, ratio: float, least: int):
@@ -276,17 +279,16 @@ def _looked_up(vocabulary, ratio: float, least: int):
         known = vocabulary.value
         for batch in batches:
             out = []
-            for word, lang, own in zip(batch["word"], batch["lang"], batch["own"]):
-                hit = known.correct(word, lang, int(own), ratio, least)
-                if hit:
-                    w, n, cost, path = hit
-                    out.append((word, lang, w, n, cost, [p for p, _, _ in path], [size for _, size, _ in path]))
-            yield pd.DataFrame(out, columns=["word", "lang", "correction", "n", "cost", "places", "sizes"]) if out else _NO_LOOKUPS
+            for word, langs, own in zip(batch["word"], batch["langs"], batch["own"]):
+                for lang, w, there, n, cost, path in known.correct(word, list(langs), int(own), ratio, least):
+                    out.append((word, lang, w, there, n, cost, [p for p, _, _ in path], [size for _, size, _ in path]))
+            yield pd.DataFrame(out, columns=_LOOKED) if out else _NO_LOOKUPS
     return run
 
 
-_LOOKUP = "word string, lang string, correction string, n bigint, cost double, places array<int>, sizes array<int>"
-_NO_LOOKUPS = pd.DataFrame({c: pd.Series([], dtype=object) for c in ["word", "lang", "correction", "n", "cost", "places", "sizes"]})
+_LOOKUP = "word string, lang string, correction string, there bigint, n bigint, cost double, places array<int>, sizes array<int>"
+_LOOKED = ["word", "lang", "correction", "there", "n", "cost", "places", "sizes"]
+_NO_LOOKUPS = pd.DataFrame({c: pd.Series([], dtype=object) for c in _LOOKED})
 
 
 class ScannedTexts:
@@ -309,9 +311,10 @@ class ScannedTexts:
         once = self.texts.withColumn("kind", F.when(F.col("kind").isin(*SCANNED), SCANNED[0]).otherwise("")).select("kind", "text").distinct()
         counts = once.mapInPandas(_counted, "what string, lang string, word string, n bigint")
         counts = self.scratch.write(counts.groupBy("what", "lang", "word").agg(F.sum("n").alias("n")))
-        totals = self.scratch.write(counts.where(F.col("what") == "word").groupBy("word").agg(F.sum("n").alias("own"), F.max_by("lang", F.struct("n", "lang")).alias("lang")))
-        asked = counts.where(F.col("what") == "broken").groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
-        asked = totals.select("word", "lang", "own").unionByName(asked.join(totals.select("word"), "word", "left_anti").withColumn("own", F.lit(0).cast("bigint")))
+        totals = self.scratch.write(counts.where(F.col("what") == "word").groupBy("word").agg(F.sum("n").alias("own"), F.max_by("lang", F.struct("n", "lang")).alias("usual")))
+        # Each word with the languages of the texts it stands in; a broken word need not occur whole, its parts must.
+        asked = counts.where(F.col("what") != "compound").groupBy("word").agg(F.collect_set("lang").alias("langs"), F.bool_or(F.col("what") == "broken").alias("broken"))
+        asked = asked.join(totals, "word", "left").where(F.col("own").isNotNull() | F.col("broken")).select("word", "langs", F.coalesce("own", F.lit(0)).alias("own"))
         # Words of letters that occur often enough to be a correction, in parts that fit one trie.
         fit = counts.where(F.col("what") == "word").join(totals.where((F.col("own") >= least) & ~F.col("word").rlike(r"[\d@|]")).select("word"), "word").select("lang", "word", "n")
         size = totals.where(F.col("own") >= least).count()
@@ -320,22 +323,24 @@ class ScannedTexts:
         for part in range(parts):
             rows = fit.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).collect()
             vocabulary = spark.sparkContext.broadcast(Vocabulary([(r.lang, r.word, r.n) for r in rows]))
-            looked = asked.repartition("word").select("word", "lang", "own").mapInPandas(_looked_up(vocabulary, ratio, least), _LOOKUP)
+            looked = asked.repartition("word").select("word", "langs", "own").mapInPandas(_looked_up(vocabulary, ratio, least), _LOOKUP)
             found = looked if found is None else found.unionByName(looked)
-        hits = self.scratch.write(
-            found.groupBy("word").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "correction", "places", "sizes")).alias("c")).select("word", "c.correction", "c.places", "c.sizes")
-        )
-        # A correction may be a frequent misreading itself: then its own correction is meant.
-        further = hits.select(F.col("word").alias("w"), F.col("correction").alias("meant"))
-        self.corrections = self.scratch.write(hits.join(further, F.col("correction") == F.col("w"), "left").select("word", F.coalesce("meant", "correction").alias("correction"), "places", "sizes"))
+        best = F.struct("cost", (-F.col("there")).alias("there"), (-F.col("n")).alias("n"), "correction", "places", "sizes")
+        hits = self.scratch.write(found.groupBy("word", "lang").agg(F.min(best).alias("c")).select("word", "lang", "c.correction", "c.places", "c.sizes"))
+        # A correction may be a frequent misreading itself: then its own correction is meant, that of the language where
+        # the misreading is usual if it does not occur in the text's.
+        further = hits.select(F.col("word").alias("w"), F.col("lang").alias("k"), F.col("correction").alias("meant"))
+        usual = further.join(totals.select(F.col("word").alias("w"), F.col("usual").alias("k")), ["w", "k"]).select(F.col("w").alias("v"), F.col("meant").alias("usually"))
+        meant = hits.join(further, (F.col("correction") == F.col("w")) & (F.col("lang") == F.col("k")), "left").join(usual, F.col("correction") == F.col("v"), "left")
+        self.corrections = self.scratch.write(meant.select("word", "lang", F.coalesce("meant", "usually", "correction").alias("correction"), "places", "sizes"))
         # Words without a correction that occur often, at most so many: those outside are joined, so this only saves work.
-        clean = totals.where(F.col("own") >= least).join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("own"), "word").limit(well_known).select("word")
+        clean = totals.where(F.col("own") >= least).join(self.corrections.select("word").distinct(), "word", "left_anti").orderBy(F.desc("own"), "word").limit(well_known).select("word")
         compounds = counts.where((F.col("what") == "compound")).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(well_known)
         self.clean = spark.sparkContext.broadcast(frozenset(r.word for r in clean.collect()))
         self.compounds = spark.sparkContext.broadcast({r.word: r.n for r in compounds.where(F.col("n") >= least).collect()})
 
     def _marked(self) -> DataFrame:
-        """``id, line_no, defect, word, at, other``: the defects seen at once, and the words to be joined with corrections.
+        """``id, line_no, defect, word, lang, at, other``: the defects seen at once, and the words to be joined with corrections.
 
         For a broken word ``at`` is the length of its left part and ``other`` the line of its right part.
         """
@@ -347,33 +352,35 @@ class ScannedTexts:
                 out = []
                 for rid, text in zip(batch["id"], batch["text"]):
                     page = Page(text)
-                    out += [(rid, n + 1, "header", None, 0, 0) for n in sorted(page.header)]
-                    out += [(rid, n + 1, "page_number", None, 0, 0) for n in sorted(page.number)]
+                    out += [(rid, n + 1, "header", None, None, 0, 0) for n in sorted(page.header)]
+                    out += [(rid, n + 1, "page_number", None, None, 0, 0) for n in sorted(page.number)]
                     broken = page.breaks()
+                    found = page.tokens(broken)
+                    lang = language([w for _, w in found])
                     for n, (a, mark, b, after) in broken.items():
                         if is_break(a, mark, b, known, joined):
-                            out.append((rid, n + 1, "break", None, 0, 0))
+                            out.append((rid, n + 1, "break", None, None, 0, 0))
                             word = (a + b).lower()
                             if word not in known and not word.isdigit():
-                                out.append((rid, n + 1, "?", word, len(a), after + 1))
+                                out.append((rid, n + 1, "?", word, lang, len(a), after + 1))
                         else:
-                            out += [(rid, k + 1, "?", w, len(w), 0) for k, w in ((n, a.lower()), (after, b.lower())) if w not in known]
-                    out += [(rid, n + 1, "?", w, len(w), 0) for n, w in page.tokens(broken) if w not in known and not w.isdigit()]
-                yield pd.DataFrame(out, columns=["id", "line_no", "defect", "word", "at", "other"])
+                            out += [(rid, k + 1, "?", w, lang, len(w), 0) for k, w in ((n, a.lower()), (after, b.lower())) if w not in known]
+                    out += [(rid, n + 1, "?", w, lang, len(w), 0) for n, w in found if w not in known and not w.isdigit()]
+                yield pd.DataFrame(out, columns=["id", "line_no", "defect", "word", "lang", "at", "other"])
 
         kind = self.texts.schema["id"].dataType.simpleString()
         scanned = self.texts.where(F.col("kind").isin(*SCANNED)).select("id", "text")
-        return scanned.mapInPandas(run, f"id {kind}, line_no int, defect string, word string, at int, other int")
+        return scanned.mapInPandas(run, f"id {kind}, line_no int, defect string, word string, lang string, at int, other int")
 
     def defects(self) -> DataFrame:
         """``id, line_no, defect``: each faulty line once per kind of defect."""
         marked = self.scratch.write(self._marked())
         plain = marked.where(F.col("defect") != "?").select("id", "line_no", "defect")
-        misread = marked.where(F.col("defect") == "?").select("id", "line_no", "word", "at", "other")
+        misread = marked.where(F.col("defect") == "?").select("id", "line_no", "word", "lang", "at", "other")
         left = F.exists("places", lambda p: p < F.col("at"))
         right = F.exists(F.arrays_zip("places", "sizes"), lambda z: z["places"] + z["sizes"] > F.col("at"))
-        hit = misread.join(self.corrections.select("word", "places", "sizes"), "word").select("id", F.explode(F.array_compact(F.array(F.when(left, F.col("line_no")), F.when((F.col("other") > 0) & right, F.col("other"))))).alias("line_no"))
-        numbers = misread.where(is_misread_number(F.col("word"))).join(self.corrections.select("word"), "word", "left_anti").select("id", "line_no")
+        hit = misread.join(self.corrections.select("word", "lang", "places", "sizes"), ["word", "lang"]).select("id", F.explode(F.array_compact(F.array(F.when(left, F.col("line_no")), F.when((F.col("other") > 0) & right, F.col("other"))))).alias("line_no"))
+        numbers = misread.where(is_misread_number(F.col("word"))).join(self.corrections.select("word", "lang"), ["word", "lang"], "left_anti").select("id", "line_no")
         return plain.unionByName(hit.unionByName(numbers).withColumn("defect", F.lit("misread"))).distinct()
 
     def repaired(self) -> DataFrame:
@@ -381,19 +388,29 @@ class ScannedTexts:
 
         Paragraphs part at blank lines; those around a page's furniture part none unless a sentence ends there.
         """
-        marked = self._marked().where(F.col("defect") == "?").select("id", "word").distinct()
-        fixes = marked.join(self.corrections.select("word", "correction"), "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("fixes"))
+        marked = self._marked().where(F.col("defect") == "?").select("id", "word", "lang").distinct()
+        fixes = marked.join(self.corrections.select("word", "lang", "correction"), ["word", "lang"])
+        fixes = fixes.groupBy("id").agg(F.collect_list(F.struct("lang", "word", "correction")).alias("fixes"))
         clean, compounds = self.clean, self.compounds
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "text": [reflow(t, dict(f) if f is not None else {}, clean.value, compounds.value) for t, f in zip(batch["text"], batch["fixes"])]})
+                yield pd.DataFrame({"id": batch["id"], "text": [reflow(t, fixes_in(t, f), clean.value, compounds.value) for t, f in zip(batch["text"], batch["fixes"])]})
 
         scanned = self.texts.where(F.col("kind").isin(*SCANNED)).select("id", "text").dropDuplicates(["id", "text"])
         kind = self.texts.schema["id"].dataType.simpleString()
         return scanned.join(fixes, "id", "left").select("id", "text", "fixes").mapInPandas(run, f"id {kind}, text string")
 
 
+def fixes_in(text: str, fixes) -> dict[str, str]:
+    """Word to correction of the fixes in the language of the text; an id may have texts of several languages."""
+    if fixes is None:
+        return {}
+    page = Page(text)
+    lang = language([w for _, w in page.tokens(page.breaks())])
+    return {f["word"]: f["correction"] for f in fixes if f["lang"] == lang}
+
+
 def is_misread_number(word):
     """A word of digits and letters that scanners take for digits, as a column."""
     return word.rlike(r"^(?=.*\d)(?=.*[a-z|])[0-9lo|]+$")

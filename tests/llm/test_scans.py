@@ -67,6 +67,19 @@ def test_copies_of_a_text_keep_their_defects(spark):
     assert got == {(f"p{i}", 1, "misread") for i in range(80)}
 
 
+def test_a_misread_word_is_repaired_in_the_language_of_its_text(spark):
+    rows = [("en", "transcript_segment", "the lantern and the bend of our harbour " * 100, 1), ("de", "transcript_segment", "der garten und die hcnd ist nicht unser " * 300, 1)]
+    rows += [("a", "ocr_text", "the lantern and the bcnd of our harbour", 1), ("b", "ocr_text", "der garten und die bcnd ist nicht unser", 1)]
+    rows += [("two", "ocr_text", "the bcnd and the lantern", 1), ("two", "ocr_text", "die bcnd und der garten", 1)]
+    df = spark.createDataFrame(rows, "id string, kind string, text string, line_no int")
+    for part_words in (300_000, 5):
+        got = sorted(tuple(r) for r in ScannedTexts(df, part_words=part_words).repaired().collect())
+        assert got == [
+            ("a", "the lantern and the bend of our harbour"), ("b", "der garten und die hcnd ist nicht unser"),
+            ("two", "die hcnd und der garten"), ("two", "the bend and the lantern"),
+        ]
+
+
 def test_nulls_empty_and_long(spark):
     assert defects(spark, []) == set()
     long = "\n".join(" ".join(random.Random(3).choices(WORDS, k=9)) for _ in range(4000))
