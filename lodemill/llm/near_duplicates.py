@@ -22,7 +22,7 @@ from lodemill.llm.components import link_groups
 from lodemill.llm.words import mix, shingles, word_hash, words
 from lodemill.session import Scratch
 
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 30, 3
 REPRESENTATIVES = 8
 _RANK = np.uint64(56)
 _BATCH = 20_000

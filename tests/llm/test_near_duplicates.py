@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lodemill.llm.near_duplicates import NearDuplicates, band_keys, signatures
+from lodemill.llm.near_duplicates import BANDS, ROWS, NearDuplicates, band_keys, signatures
 from lodemill.llm.words import words
 
 
@@ -82,3 +82,7 @@ def test_signature_estimates_similarity():
     assert band_keys(sig, 4).shape == (2, 64)
     small = signatures(np.array([5], dtype=np.uint64), np.array([0]), 2, 16)
     assert sorted(small[0] >> np.uint64(56)) == list(range(16)) and (small[1] == 2**64 - 1).all()
+
+
+def test_a_pair_at_the_threshold_is_hardly_ever_missed():
+    assert (1 - 0.6**ROWS) ** BANDS < 0.001
