@@ -146,6 +146,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where("short").select("source")
 
 
+def p8_shares_in_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mix whose sizes are characters; what a source gives is told where all it has is taken."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+    reached = mixing.reached_shares(*mixing.mix(docs, table(spark, sf_dir, "mix_targets")))
+    return reached.select("source", "target_share", "max_repeats", "capacity", "needed", "short", F.when(F.col("short"), F.col("tokens")).alias("given"), F.when(F.col("short"), F.col("passes")).alias("passes"))
+
+
+_P8_CHARACTERS = """
+WITH d AS (SELECT lower(trim(source)) AS source, coalesce(length(text), 0) AS n FROM documents),
+h AS (SELECT source, sum(n)::bigint AS n FROM d GROUP BY source),
+t AS (SELECT lower(trim(source)) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT t.source, target_share, max_repeats, (coalesce(n, 0) * max_repeats)::bigint AS capacity, target_share * (SELECT sum(n) FROM d)::double AS needed FROM t LEFT JOIN h USING (source))
+SELECT *, capacity < needed AS short, CASE WHEN capacity < needed THEN capacity END AS given,
+  CASE WHEN capacity < needed THEN CASE WHEN capacity > 0 THEN max_repeats ELSE 0 END END AS passes FROM p
+"""
 _P8 = """
 WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents),
 h AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
@@ -183,6 +198,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_schedule": p8_schedule,
     "p8_shares": p8_shares,
+    "p8_shares_in_characters": p8_shares_in_characters,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
@@ -193,4 +209,5 @@ SQL = {
     "p6_found": _P6,
     "p7_found": _P7,
     "p8_found": _P8,
+    "p8_shares_in_characters": _P8_CHARACTERS,
 }
