@@ -2,13 +2,14 @@
 
 A page's lines are told apart by their form and their neighbours: running titles, page numbers, body. Words broken at
 the end of a line are joined where the joined word is known and the compound with a hyphen is not. A word that is not
-known well is looked up in a trie of the vocabulary by a Levenshtein automaton that also knows the confusions of
-scanners; it counts as misread if a word that is far more frequent explains it by such confusions alone. Candidates of
-equal cost are ranked by their frequency in the language of the text; the words beside them are not looked at.
-
-The vocabulary is counted over all distinct texts. It is looked up once per distinct word, not per occurrence, against a trie in
-parts of bounded size, and ranked per language of the texts that hold the word; only words outside the well-known ones are
-joined with their corrections, by word and language.
+known well is looked up in a trie of the vocabulary by a Levenshtein automaton: a plain edit costs one, a confusion of
+scanners half. A word counts as misread if a word that is far more frequent explains it by confusions alone; or, where
+the word is rare, by an edit as well if the words beside it in the text stand beside that candidate elsewhere. Candidates
+are ranked by kind and cost, then by how often the word's neighbours stand beside them, then by frequency in the
+language of the text.
+
+Each distinct text is parsed once; what a page holds is written and everything else runs on that. The vocabulary is
+counted over all distinct texts and looked up once per distinct word, in parts of bounded size that tasks share out.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ _LANGUAGES = {w: [k for k, v in LANGUAGE_WORDS.items() if w in v.split()] for v
 
 _CHAR = r"(?:[^\W_]|[@|])"
 WORD = re.compile(rf"[@|]*[^\W_]{_CHAR}*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = "-‐¬\u00ad"
 _BROKEN = re.compile(rf"({_CHAR}+)([-‐¬\u00ad])\s*$")
 _FIRST = re.compile(rf"\s*({_CHAR}+)")
 _COMPOUND = re.compile(r"(?<![\w/.-])([^\W\d_]+)[-‐]([^\W\d_]+)(?![\w/-])")
@@ -98,17 +101,14 @@ class Page:
                 plain.append(n)
             elif is_title(line) or ((m := _NUMBERED.fullmatch(line)) and is_title(m["t"] or m["u"])):
                 self.header.add(n)
-        repeated = Counter(self._skeleton(x) for x in bare)
+        skeletons = [_LETTERS.findall(x.lower()) for x in bare]
+        repeated = Counter(map(" ".join, skeletons))
         for n, line in enumerate(bare):  # a title in small letters runs as well
-            if line and n not in self.header and n not in self.number and repeated[self._skeleton(line)] >= 3 and line[-1] not in ".!?,;:" and len(WORD.findall(self._skeleton(line))) >= 2:
+            if len(skeletons[n]) >= 2 and repeated[" ".join(skeletons[n])] >= 3 and line[-1] not in ".!?,;:" and n not in self.header and n not in self.number:
                 self.header.add(n)
         self._plain_numbers(bare, plain)
         self.body = [n for n, line in enumerate(bare) if line and n not in self.header and n not in self.number]
 
-    @staticmethod
-    def _skeleton(line: str) -> str:
-        return " ".join(re.sub(r"[\d\W_]+", " ", line.lower()).split())
-
     def _plain_numbers(self, bare: list[str], plain: list[int]) -> None:
         """Bare numbers stand alone or indented; columns of figures stand one below the other.
 
@@ -135,6 +135,8 @@ class Page:
         """Body lines that end with a mark within a word: (left, mark, right, line of the right part)."""
         out = {}
         for n, after in zip(self.body, self.body[1:]):
+            if self.lines[n].rstrip()[-1:] not in _MARKS:
+                continue
             m, first = _BROKEN.search(self.lines[n]), _FIRST.match(self.lines[after].lstrip("\x0c"))
             if m and first and not m[1].isdigit() and not first[1].isdigit():
                 out[n] = (m[1], m[2], first[1], after)
@@ -160,24 +162,39 @@ def language(words: list[str]) -> str:
 # ---- vocabulary and lookup ----
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words, broken words, their parts and compounds of a batch by language: what, language, word, count."""
+_PARSED = """h binary, scanned boolean, lang string, header array<int>, number array<int>, b_line array<int>, b_left array<string>, b_mark array<string>,
+b_right array<string>, b_after array<int>, lines array<int>, words array<string>, c_what array<string>, c_lang array<string>, c_word array<string>, c_n array<bigint>"""
+_COLUMNS = [x.split()[0] for x in _PARSED.replace("\n", " ").split(", ")]
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per text with what its page holds, and a row per batch with its counts: words, broken words, their parts and compounds by language."""
     for batch in batches:
         seen: Counter = Counter()
-        for kind, text in zip(batch["kind"], batch["text"]):
-            if kind in SCANNED:
+        out = []
+        for h, scanned, text in zip(batch["h"], batch["scanned"], batch["text"]):
+            if scanned:
                 page = Page(text)
                 broken = page.breaks()
-                found = [w for _, w in page.tokens(broken)]
-                lines = [page.lines[n] for n in page.body]
+                tokens = page.tokens(broken)
+                found = [w for _, w in tokens]
+                lang = language(found)
+                body = [page.lines[n] for n in page.body]
+                parts = [(n + 1, a, mark, b, after + 1) for n, (a, mark, b, after) in broken.items()]
+                seen.update(("broken", lang, (a + b).lower()) for _, a, _, b, _ in parts)
+                seen.update(("part", lang, w.lower()) for _, a, _, b, _ in parts for w in (a, b))
+                columns = list(zip(*parts)) or [[]] * 5
+                out.append((h, True, lang, [n + 1 for n in sorted(page.header)], [n + 1 for n in sorted(page.number)], *map(list, columns), [n + 1 for n, _ in tokens], found, None, None, None, None))
             else:
-                broken, found, lines = {}, [w.lower() for w in WORD.findall(text)], text.split("\n")
-            lang = language(found)
-            seen.update(("word", lang, w) for w in found if not w.isdigit())
-            seen.update(("broken", lang, (a + b).lower()) for a, _, b, _ in broken.values())
-            seen.update(("part", lang, w.lower()) for a, _, b, _ in broken.values() for w in (a, b))
-            seen.update(("compound", lang, f"{a}-{b}".lower()) for line in lines for a, b in _COMPOUND.findall(line))
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "lang", "word", "n"])
+                found, body = [w.lower() for w in WORD.findall(text)], text.split("\n")
+                lang = language(found)
+                out.append((h, False, lang, None, None, None, None, None, None, None, None, found, None, None, None, None))
+            seen.update({("word", lang, w): n for w, n in Counter(found).items() if not w.isdigit()})
+            seen.update(("compound", lang, f"{a}-{b}".lower()) for line in body if "-" in line or "‐" in line for a, b in _COMPOUND.findall(line))
+        if seen:
+            what, lang, word = map(list, zip(*seen))
+            out.append((*[None] * 12, what, lang, word, list(seen.values())))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 class Trie:
@@ -245,7 +262,7 @@ for _read, _true in CONFUSIONS:
 class Vocabulary:
     """How often words occur, in all and by language, with the trie over them."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: Iterator[tuple[str, str, int]]):
         self.total: Counter = Counter()
         self.by: dict[str, dict[str, int]] = {}
         for lang, word, n in rows:
@@ -254,40 +271,44 @@ class Vocabulary:
         self.words = sorted(self.total)
         self.trie = Trie(self.words)
 
-    def correct(self, word: str, langs: list[str], own: int, ratio: float, least: int) -> list[tuple]:
-        """Per language (language, correction, its count there and in all, cost, confusions); none if nothing explains the word.
+    def correct(self, word: str, own: int, ratio: float, least: int, shortest: int = 4) -> list[tuple]:
+        """(correction, its count in all, cost, plain edits, confusions) of whatever may explain the word.
 
         A digit among letters needs no more than a known word; other words need one ``ratio`` times as frequent as
-        themselves. The correction is the cheapest by confusions, then the most frequent in the language, then in all.
+        themselves. An edit that is no confusion can only explain a word of ``shortest`` letters or more that occurs
+        less than ``least`` times, and never by adding to a word or taking from it at its end, as inflections do.
         """
         mixed = any(c.isdigit() or c in "@|" for c in word) and not word.isdigit()
         need = least if mixed else max(least, ratio * own)
+        edits = own < least and len(word) >= shortest
         fits = []
         for k, (cost, plain, path) in self.trie.candidates(word).items():
             w = self.words[k]
-            if plain == 0 and path and w != word and self.total[w] >= need:
-                fits.append((cost, w, path))
-        out = []
-        for lang in langs if fits else []:
-            cost, there, n, w, path = min((cost, -self.by[w].get(lang, 0), -self.total[w], w, path) for cost, w, path in fits)
-            out.append((lang, w, -there, -n, cost, path))
-        return out
+            if w == word or self.total[w] < need:
+                continue
+            if plain == 0 and path:
+                fits.append((w, self.total[w], cost, 0, path))
+            elif plain and edits and self.total[w] >= ratio * max(1, own) and not w.startswith(word[:-2]):
+                fits.append((w, self.total[w], cost, 1, path))
+        return fits
+
 
+def _look_up(ratio: float, least: int):
+    def run(vocabulary: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(vocabulary):
+            known = Vocabulary(zip(vocabulary["lang"], vocabulary["word"], vocabulary["n"]))
+            for word, langs, own in zip(asked["word"], asked["langs"], asked["own"]):
+                for w, n, cost, plain, path in known.correct(word, int(own), ratio, least):
+                    places, sizes = [p for p, _, _ in path], [size for _, size, _ in path]
+                    out += [(word, lang, w, known.by[w].get(lang, 0), n, cost, plain, places, sizes) for lang in langs]
+        return pd.DataFrame(out, columns=_LOOKED) if out else _NO_LOOKUPS
 
-def _looked_up(vocabulary, ratio: float, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = vocabulary.value
-        for batch in batches:
-            out = []
-            for word, langs, own in zip(batch["word"], batch["langs"], batch["own"]):
-                for lang, w, there, n, cost, path in known.correct(word, list(langs), int(own), ratio, least):
-                    out.append((word, lang, w, there, n, cost, [p for p, _, _ in path], [size for _, size, _ in path]))
-            yield pd.DataFrame(out, columns=_LOOKED) if out else _NO_LOOKUPS
     return run
 
 
-_LOOKUP = "word string, lang string, correction string, there bigint, n bigint, cost double, places array<int>, sizes array<int>"
-_LOOKED = ["word", "lang", "correction", "there", "n", "cost", "places", "sizes"]
+_LOOKUP = "word string, lang string, correction string, there bigint, n bigint, cost double, plain int, places array<int>, sizes array<int>"
+_LOOKED = ["word", "lang", "correction", "there", "n", "cost", "plain", "places", "sizes"]
 _NO_LOOKUPS = pd.DataFrame({c: pd.Series([], dtype=object) for c in _LOOKED})
 
 
@@ -298,117 +319,154 @@ class ScannedTexts:
     texts are left out; repeated rows give their defects once, and a text adds to the vocabulary once, however many copies
     of it there are; other columns are ignored; an empty table gives none.
     ``ratio`` and ``least``: how much more frequent than a word its correction must be, and how frequent at least.
+    ``support``: how often a candidate of a plain edit must have been seen beside the word's neighbours.
     ``part_words``: words of a trie; a larger vocabulary is searched in parts. ``well_known``: how many of the most
-    frequent words every task holds; all others are joined with their corrections, and a broken word outside them is
-    told by its mark and its halves.
+    frequent words without a correction are sent to all tasks, so that their occurrences need no shuffle; this changes
+    no result.
     """
 
-    def __init__(self, texts: DataFrame, ratio: float = 12.0, least: int = 3, part_words: int = 300_000, well_known: int = 1_000_000):
+    def __init__(self, texts: DataFrame, ratio: float = 12.0, least: int = 3, support: int = 3, part_words: int = 300_000, asked_words: int = 20_000, well_known: int = 100_000):
         spark = texts.sparkSession
         self.scratch = Scratch(spark)
-        self.texts = texts.select("id", "kind", "text").where(F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("text").isNotNull())
+        self.support = support
+        rows = texts.select("id", F.col("kind").isin(*SCANNED).alias("scanned"), "text").where(F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("text").isNotNull())
+        self.rows = rows.withColumn("h", F.unhex(F.md5("text")))
         # A copied text counts once, else its misread words come out as frequent as the words they stand for.
-        once = self.texts.withColumn("kind", F.when(F.col("kind").isin(*SCANNED), SCANNED[0]).otherwise("")).select("kind", "text").distinct()
-        counts = once.mapInPandas(_counted, "what string, lang string, word string, n bigint")
-        counts = self.scratch.write(counts.groupBy("what", "lang", "word").agg(F.sum("n").alias("n")))
+        self.once = rows.select("scanned", "text").distinct().withColumn("h", F.unhex(F.md5("text")))
+        self.parsed = self.scratch.write(self.once.mapInPandas(_parse, _PARSED))
+        counted = self.parsed.where(F.col("c_what").isNotNull()).select(F.explode(F.arrays_zip("c_what", "c_lang", "c_word", "c_n")).alias("c"))
+        counts = counted.groupBy(F.col("c.c_what").alias("what"), F.col("c.c_lang").alias("lang"), F.col("c.c_word").alias("word")).agg(F.sum("c.c_n").alias("n"))
+        counts = self.scratch.write(counts)
         totals = self.scratch.write(counts.where(F.col("what") == "word").groupBy("word").agg(F.sum("n").alias("own"), F.max_by("lang", F.struct("n", "lang")).alias("usual")))
-        # Each word with the languages of the texts it stands in; a broken word need not occur whole, its parts must.
-        asked = counts.where(F.col("what") != "compound").groupBy("word").agg(F.collect_set("lang").alias("langs"), F.bool_or(F.col("what") == "broken").alias("broken"))
-        asked = asked.join(totals, "word", "left").where(F.col("own").isNotNull() | F.col("broken")).select("word", "langs", F.coalesce("own", F.lit(0)).alias("own"))
-        # Words of letters that occur often enough to be a correction, in parts that fit one trie.
-        fit = counts.where(F.col("what") == "word").join(totals.where((F.col("own") >= least) & ~F.col("word").rlike(r"[\d@|]")).select("word"), "word").select("lang", "word", "n")
-        size = totals.where(F.col("own") >= least).count()
-        parts = size // part_words + 1
-        found = None
-        for part in range(parts):
-            rows = fit.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).collect()
-            vocabulary = spark.sparkContext.broadcast(Vocabulary([(r.lang, r.word, r.n) for r in rows]))
-            looked = asked.repartition("word").select("word", "langs", "own").mapInPandas(_looked_up(vocabulary, ratio, least), _LOOKUP)
-            found = looked if found is None else found.unionByName(looked)
-        best = F.struct("cost", (-F.col("there")).alias("there"), (-F.col("n")).alias("n"), "correction", "places", "sizes")
-        hits = self.scratch.write(found.groupBy("word", "lang").agg(F.min(best).alias("c")).select("word", "lang", "c.correction", "c.places", "c.sizes"))
+        looked = self._looked_up(counts, totals, ratio, least, part_words, asked_words)
+        sure = looked.where(F.col("plain") == 0)
+        best = F.struct("cost", (-F.col("there")).alias("there"), (-F.col("n")).alias("n"), "correction")
+        hits = self.scratch.write(sure.groupBy("word", "lang").agg(F.min(best).alias("c")).select("word", "lang", "c.correction"))
         # A correction may be a frequent misreading itself: then its own correction is meant, that of the language where
         # the misreading is usual if it does not occur in the text's.
         further = hits.select(F.col("word").alias("w"), F.col("lang").alias("k"), F.col("correction").alias("meant"))
         usual = further.join(totals.select(F.col("word").alias("w"), F.col("usual").alias("k")), ["w", "k"]).select(F.col("w").alias("v"), F.col("meant").alias("usually"))
-        meant = hits.join(further, (F.col("correction") == F.col("w")) & (F.col("lang") == F.col("k")), "left").join(usual, F.col("correction") == F.col("v"), "left")
-        self.corrections = self.scratch.write(meant.select("word", "lang", F.coalesce("meant", "usually", "correction").alias("correction"), "places", "sizes"))
-        # Words without a correction that occur often, at most so many: those outside are joined, so this only saves work.
-        clean = totals.where(F.col("own") >= least).join(self.corrections.select("word").distinct(), "word", "left_anti").orderBy(F.desc("own"), "word").limit(well_known).select("word")
-        compounds = counts.where((F.col("what") == "compound")).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(well_known)
-        self.clean = spark.sparkContext.broadcast(frozenset(r.word for r in clean.collect()))
-        self.compounds = spark.sparkContext.broadcast({r.word: r.n for r in compounds.where(F.col("n") >= least).collect()})
-
-    def _marked(self) -> DataFrame:
-        """``id, line_no, defect, word, lang, at, other``: the defects seen at once, and the words to be joined with corrections.
+        meant = sure.join(further, (F.col("correction") == F.col("w")) & (F.col("lang") == F.col("k")), "left").join(usual, F.col("correction") == F.col("v"), "left")
+        meant = meant.withColumn("correction", F.coalesce("meant", "usually", "correction"))
+        edited = looked.where(F.col("plain") == 1).join(hits, ["word", "lang"], "left_anti").join(hits.select(F.col("word").alias("correction")).distinct(), "correction", "left_anti")
+        fits = meant.select(*_LOOKED).unionByName(edited.select(*_LOOKED))
+        # All candidates of a word: it has as many as the vocabulary has words so near to it.
+        self.fits = self.scratch.write(fits.groupBy("word", "lang").agg(F.collect_list(F.struct("plain", "cost", "there", "n", "correction", "places", "sizes")).alias("fits")))
+        self.clean = self.scratch.write(totals.where(F.col("own") >= least).join(hits.select("word").distinct(), "word", "left_anti").select("word", "own"))
+        self.frequent = self.clean.orderBy(F.desc("own"), "word").limit(well_known).select("word")
+        self.compounds = counts.where(F.col("what") == "compound").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word")
+        self.broken = self.scratch.write(self._broken())
+        self.doubtful = self.scratch.write(self._doubtful())
+        self.chosen = self.scratch.write(self._chosen())
+
+    def _looked_up(self, counts: DataFrame, totals: DataFrame, ratio: float, least: int, part_words: int, asked_words: int) -> DataFrame:
+        # Each word with the languages of the texts it stands in; a broken word need not occur whole, its parts must.
+        asked = counts.where(F.col("what") != "compound").groupBy("word").agg(F.collect_set("lang").alias("langs"), F.bool_or(F.col("what") == "broken").alias("broken"))
+        asked = self.scratch.write(asked.join(totals, "word", "left").where(F.col("own").isNotNull() | F.col("broken")).select("word", "langs", F.coalesce("own", F.lit(0)).alias("own")))
+        # Words of letters that occur often enough to be a correction, in parts that fit one trie.
+        fit = counts.where(F.col("what") == "word").join(totals.where((F.col("own") >= least) & ~F.col("word").rlike(r"[\d@|]")).select("word"), "word").select("lang", "word", "n")
+        parts = totals.where(F.col("own") >= least).count() // part_words + 1
+        tasks = max(int(self.once.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts * (asked.count() // asked_words + 1))
+        salts = -(-tasks // parts)
+        # Every part meets every asked word: words are shared out over the salts, each of which has a copy of the part.
+        fit = fit.select("*", F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        asked = asked.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int").alias("salt"))
+        key = ["part", "salt"]
+        both = fit.repartition(tasks, *key).groupBy(*key).cogroup(asked.repartition(tasks, *key).groupBy(*key))
+        return self.scratch.write(both.applyInPandas(_look_up(ratio, least), _LOOKUP))
+
+    def _broken(self) -> DataFrame:
+        """Words parted by the end of a line: ``h, lang, line_no, left, right, after``, and ``is_break``: the mark is not the word's own hyphen."""
+        rows = self.parsed.where(F.size("b_line") > 0).select("h", "lang", F.explode(F.arrays_zip("b_line", "b_left", "b_mark", "b_right", "b_after")).alias("b"))
+        rows = rows.select("h", "lang", F.col("b.b_line").alias("line_no"), F.lower("b.b_left").alias("left"), F.col("b.b_mark").alias("mark"), F.lower("b.b_right").alias("right"), F.col("b.b_after").alias("after"))
+        rows = rows.withColumns({"whole": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right")})
+        for column in ("whole", "left", "right"):
+            rows = rows.join(self.clean.select(F.col("word").alias(f"w_{column}")), F.col(column) == F.col(f"w_{column}"), "left")
+        rows = rows.join(self.compounds.select(F.col("word").alias("w_compound")), F.col("compound") == F.col("w_compound"), "left")
+        has = lambda column: F.col(f"w_{column}").isNotNull()
+        told = F.when(has("whole"), ~has("compound")).when(has("compound"), False).otherwise(F.col("mark").isin("¬", "\u00ad") | ~(has("left") & has("right")))
+        return rows.select("h", "lang", "line_no", "left", "right", "after", told.alias("is_break"))
+
+    def _doubtful(self) -> DataFrame:
+        """Occurrences of words that have candidates: ``h, line_no, word, at, other, before, behind, fits``; misread numbers without.
 
         For a broken word ``at`` is the length of its left part and ``other`` the line of its right part.
         """
-        clean, compounds = self.clean, self.compounds
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, joined = clean.value, compounds.value
-            for batch in batches:
-                out = []
-                for rid, text in zip(batch["id"], batch["text"]):
-                    page = Page(text)
-                    out += [(rid, n + 1, "header", None, None, 0, 0) for n in sorted(page.header)]
-                    out += [(rid, n + 1, "page_number", None, None, 0, 0) for n in sorted(page.number)]
-                    broken = page.breaks()
-                    found = page.tokens(broken)
-                    lang = language([w for _, w in found])
-                    for n, (a, mark, b, after) in broken.items():
-                        if is_break(a, mark, b, known, joined):
-                            out.append((rid, n + 1, "break", None, None, 0, 0))
-                            word = (a + b).lower()
-                            if word not in known and not word.isdigit():
-                                out.append((rid, n + 1, "?", word, lang, len(a), after + 1))
-                        else:
-                            out += [(rid, k + 1, "?", w, lang, len(w), 0) for k, w in ((n, a.lower()), (after, b.lower())) if w not in known]
-                    out += [(rid, n + 1, "?", w, lang, len(w), 0) for n, w in found if w not in known and not w.isdigit()]
-                yield pd.DataFrame(out, columns=["id", "line_no", "defect", "word", "lang", "at", "other"])
-
-        kind = self.texts.schema["id"].dataType.simpleString()
-        scanned = self.texts.where(F.col("kind").isin(*SCANNED)).select("id", "text")
-        return scanned.mapInPandas(run, f"id {kind}, line_no int, defect string, word string, lang string, at int, other int")
+        words, lines = F.col("words"), F.col("lines")
+        tokens = self.parsed.where("scanned").select("h", "lang", words, F.posexplode(F.arrays_zip("words", "lines")).alias("pos", "t"))
+        plain = tokens.select("h", "lang", F.col("t.lines").alias("line_no"), F.col("t.words").alias("word"), F.length("t.words").alias("at"), F.lit(0).alias("other"), F.get("words", F.col("pos") - 1).alias("before"), F.get("words", F.col("pos") + 1).alias("behind"))
+        nothing = F.lit(None).cast("string")
+        whole = self.broken.where("is_break").select("h", "lang", "line_no", F.concat("left", "right").alias("word"), F.length("left").alias("at"), F.col("after").alias("other"), nothing.alias("before"), nothing.alias("behind"))
+        halves = self.broken.where(~F.col("is_break")).select("h", "lang", F.explode(F.array(F.struct(F.col("line_no"), F.col("left").alias("word")), F.struct(F.col("after").alias("line_no"), F.col("right").alias("word")))).alias("x"))
+        halves = halves.select("h", "lang", "x.line_no", "x.word", F.length("x.word").alias("at"), F.lit(0).alias("other"), nothing.alias("before"), nothing.alias("behind"))
+        # The frequent words are at most ``well_known``, so they may be sent to all tasks.
+        rows = plain.unionByName(whole).unionByName(halves).join(F.broadcast(self.frequent), "word", "left_anti").where(~F.col("word").rlike(r"^\p{N}+$"))
+        rows = rows.join(self.fits, ["word", "lang"], "left")
+        return rows.where(F.col("fits").isNotNull() | is_misread_number(F.col("word"))).select("h", "line_no", "word", "at", "other", "before", "behind", "fits")
+
+    def _chosen(self) -> DataFrame:
+        """The candidate of each doubtful word of a text: ``h, word, correction, places, sizes``."""
+        asked = self.doubtful.where(F.col("fits").isNotNull())
+        alone = (F.size("fits") == 1) & (F.element_at("fits", 1)["plain"] == 0)
+        one = asked.where(alone).select("h", "word", F.element_at("fits", 1).alias("f")).dropDuplicates(["h", "word"]).select("h", "word", "f.correction", "f.places", "f.sizes")
+        several = asked.where(~alone).select("h", "word", "before", "behind", F.explode("fits").alias("f"))
+        pairs = several.select(F.explode(F.array(F.struct(F.col("before").alias("x"), F.col("f.correction").alias("y")), F.struct(F.col("f.correction").alias("x"), F.col("behind").alias("y")))).alias("p")).select("p.*")
+        pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+        beside = self.parsed.where(F.size("words") > 1).select(F.explode(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p")).select("p.*")
+        beside = self.scratch.write(beside.join(pairs, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.count("*").alias("seen")))
+        several = several.withColumn("c", F.col("f.correction"))
+        several = several.join(beside.select(F.col("x").alias("before"), F.col("y").alias("c"), F.col("seen").alias("s1")), ["before", "c"], "left")
+        several = several.join(beside.select(F.col("x").alias("c"), F.col("y").alias("behind"), F.col("seen").alias("s2")), ["behind", "c"], "left")
+        several = several.select("h", "word", "f", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("s2", F.lit(0)).alias("s2"))
+        rated = several.groupBy("h", "word", F.col("f.correction").alias("correction")).agg(F.min("f").alias("f"), F.sum(F.col("s1") + F.col("s2")).alias("support"), F.bool_or((F.col("s1") > 0) & (F.col("s2") > 0)).alias("framed"))
+        rated = rated.where((F.col("f.plain") == 0) | (F.col("framed") & (F.col("support") >= self.support)))
+        rank = F.struct("f.plain", "f.cost", -F.col("support"), -F.col("f.there"), -F.col("f.n"), "correction")
+        best = rated.groupBy("h", "word").agg(F.min_by(F.struct("correction", "f.places", "f.sizes", "f.plain"), rank).alias("b"))
+        # A plain edit has no place of its own: it counts for the line where the word begins.
+        return one.unionByName(best.select("h", "word", "b.correction", F.when(F.col("b.plain") == 0, F.col("b.places")).otherwise(F.array(F.lit(0))).alias("places"), F.when(F.col("b.plain") == 0, F.col("b.sizes")).otherwise(F.array(F.lit(1))).alias("sizes")))
+
+    def _by_id(self, rows: DataFrame, scanned: DataFrame) -> DataFrame:
+        """``rows`` with one row per text ``h`` for each id of ``scanned`` (``id, h``). Texts of many copies are split."""
+        many = scanned.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 100_000)
+        # At most one text in a hundred thousand rows, so these may be sent to all tasks.
+        many = F.broadcast(many.select("h", F.ceil(F.col("n") / 100_000).cast("int").alias("splits")))
+        split = F.coalesce("splits", F.lit(1))
+        copies = scanned.join(many, "h", "left").select("id", "h", F.pmod(F.xxhash64("id"), split).cast("int").alias("split"))
+        each = rows.join(many, "h", "left").withColumn("split", F.explode(F.sequence(F.lit(0), split - 1))).drop("splits")
+        return copies.join(each, ["h", "split"]).drop("h", "split")
 
     def defects(self) -> DataFrame:
         """``id, line_no, defect``: each faulty line once per kind of defect."""
-        marked = self.scratch.write(self._marked())
-        plain = marked.where(F.col("defect") != "?").select("id", "line_no", "defect")
-        misread = marked.where(F.col("defect") == "?").select("id", "line_no", "word", "lang", "at", "other")
-        left = F.exists("places", lambda p: p < F.col("at"))
-        right = F.exists(F.arrays_zip("places", "sizes"), lambda z: z["places"] + z["sizes"] > F.col("at"))
-        hit = misread.join(self.corrections.select("word", "lang", "places", "sizes"), ["word", "lang"]).select("id", F.explode(F.array_compact(F.array(F.when(left, F.col("line_no")), F.when((F.col("other") > 0) & right, F.col("other"))))).alias("line_no"))
-        numbers = misread.where(is_misread_number(F.col("word"))).join(self.corrections.select("word", "lang"), ["word", "lang"], "left_anti").select("id", "line_no")
-        return plain.unionByName(hit.unionByName(numbers).withColumn("defect", F.lit("misread"))).distinct()
+        told = lambda column, name: self.parsed.where(F.size(column) > 0).select("h", F.explode(column).alias("line_no"), F.lit(name).alias("defect"))
+        plain = told("header", "header").unionByName(told("number", "page_number"))
+        plain = plain.unionByName(self.broken.where("is_break").select("h", "line_no", F.lit("break").alias("defect")))
+        at, other = F.col("at"), F.col("other")
+        left = F.exists("places", lambda p: p < at)
+        right = F.exists(F.arrays_zip("places", "sizes"), lambda z: z["places"] + z["sizes"] > at)
+        hit = self.doubtful.select("h", "word", "line_no", "at", "other").join(self.chosen, ["h", "word"], "left")
+        number = F.col("correction").isNull() & is_misread_number(F.col("word"))
+        lines = F.array_compact(F.array(F.when(left | number, F.col("line_no")), F.when((other > 0) & right, other)))
+        misread = hit.select("h", F.explode(lines).alias("line_no"), F.lit("misread").alias("defect"))
+        # The defects of a text are no more than four times its lines.
+        rows = plain.unionByName(misread).distinct().groupBy("h").agg(F.collect_list(F.struct("line_no", "defect")).alias("found"))
+        found = self._by_id(rows, self.rows.where("scanned").select("id", "h").distinct())
+        return found.select("id", F.explode("found").alias("f")).select("id", "f.line_no", "f.defect").distinct()
 
     def repaired(self) -> DataFrame:
         """``id, text``: the paragraphs of each scanned text, without furniture, with words joined and corrected.
 
         Paragraphs part at blank lines; those around a page's furniture part none unless a sentence ends there.
         """
-        marked = self._marked().where(F.col("defect") == "?").select("id", "word", "lang").distinct()
-        fixes = marked.join(self.corrections.select("word", "lang", "correction"), ["word", "lang"])
-        fixes = fixes.groupBy("id").agg(F.collect_list(F.struct("lang", "word", "correction")).alias("fixes"))
-        clean, compounds = self.clean, self.compounds
+        fixes = self.chosen.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("fixes"))
+        parted = self.broken.where("is_break").groupBy("h").agg(F.collect_set("line_no").alias("parted"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "text": [reflow(t, fixes_in(t, f), clean.value, compounds.value) for t, f in zip(batch["text"], batch["fixes"])]})
-
-        scanned = self.texts.where(F.col("kind").isin(*SCANNED)).select("id", "text").dropDuplicates(["id", "text"])
-        kind = self.texts.schema["id"].dataType.simpleString()
-        return scanned.join(fixes, "id", "left").select("id", "text", "fixes").mapInPandas(run, f"id {kind}, text string")
+                new = [reflow(t, dict(f) if f is not None else {}, set() if p is None else {n - 1 for n in p}) for t, f, p in zip(batch["text"], batch["fixes"], batch["parted"])]
+                yield pd.DataFrame({"h": batch["h"], "text": new})
 
-
-def fixes_in(text: str, fixes) -> dict[str, str]:
-    """Word to correction of the fixes in the language of the text; an id may have texts of several languages."""
-    if fixes is None:
-        return {}
-    page = Page(text)
-    lang = language([w for _, w in page.tokens(page.breaks())])
-    return {f["word"]: f["correction"] for f in fixes if f["lang"] == lang}
+        scanned = self.once.where("scanned").join(fixes, "h", "left").join(parted, "h", "left").select("h", "text", "fixes", "parted")
+        return self._by_id(scanned.mapInPandas(run, "h binary, text string"), self.rows.where("scanned").select("id", "h").distinct())
 
 
 def is_misread_number(word):
@@ -416,23 +474,14 @@ def is_misread_number(word):
     return word.rlike(r"^(?=.*\d)(?=.*[a-z|])[0-9lo|]+$")
 
 
-def is_break(a: str, mark: str, b: str, known, compounds) -> bool:
-    """Whether the mark between two parts is not the word's own hyphen."""
-    whole, compound = (a + b).lower(), f"{a}-{b}".lower()
-    if whole in known:
-        return compound not in compounds
-    if compound in compounds:
-        return False
-    return mark in "¬\u00ad" or not (a.lower() in known and b.lower() in known)
-
-
 def _like(word: str, correction: str) -> str:
     if word.isupper() and len(word) > 1:
         return correction.upper()
     return correction[:1].upper() + correction[1:] if word[:1].isupper() else correction
 
 
-def reflow(text: str, fixes: dict[str, str], known, compounds) -> str:
+def reflow(text: str, fixes: dict[str, str], within: set[int]) -> str:
+    """The text's paragraphs with the words of ``fixes`` corrected; ``within`` are the lines that end within a word."""
     page = Page(text)
     broken = page.breaks()
     body = set(page.body)
@@ -452,7 +501,7 @@ def reflow(text: str, fixes: dict[str, str], known, compounds) -> str:
         if n in broken:
             a, mark, b, _ = broken[n]
             stem = piece[: len(piece) - len(mark)]
-            piece = (stem if is_break(a, mark, b, known, compounds) else stem + "-") + "\0"
+            piece = (stem if n in within else stem + "-") + "\0"
         if parted or not paragraphs:
             paragraphs.append(piece)
         else:

@@ -80,6 +80,23 @@ def test_a_misread_word_is_repaired_in_the_language_of_its_text(spark):
         ]
 
 
+def test_an_edit_is_repaired_where_the_neighbours_agree(spark):
+    page = "the lantern opens every wjndow while another\ngovernent repairs seven vaIves in Winmow street"
+    rows = [(f"t{i}", "transcript_segment", "the lantern opens every window while another government repairs seven valves; a window opens, the government repairs", 1) for i in range(8)]
+    rows = [(i, k, t + " " + "and " * n, 1) for n, (i, k, t, _) in enumerate(rows)] + [("p", "ocr_text", page, 1)]
+    df = spark.createDataFrame(rows, "id string, kind string, text string, line_no int")
+    scans = ScannedTexts(df, ratio=4)
+    assert {tuple(r)[1:] for r in scans.defects().collect()} == {(1, "misread"), (2, "misread")}
+    assert [r.text for r in scans.repaired().collect()] == ["the lantern opens every window while another government repairs seven valves in Winmow street"]
+
+
+def test_candidates_are_ranked_by_the_neighbours(spark):
+    rows = [("a", "transcript_segment", "a red bend " * 40 + "on the road " + "the old hend is here " * 60, 1), ("b", "transcript_segment", "one bcat more", 1)]
+    rows += [("p", "ocr_text", "see a red bcnd here", 1), ("c", "transcript_segment", "the cold bond sold " * 90, 1)]
+    df = spark.createDataFrame(rows, "id string, kind string, text string, line_no int")
+    assert [r.text for r in ScannedTexts(df).repaired().collect()] == ["see a red bend here"]
+
+
 def test_nulls_empty_and_long(spark):
     assert defects(spark, []) == set()
     long = "\n".join(" ".join(random.Random(3).choices(WORDS, k=9)) for _ in range(4000))
@@ -112,4 +129,4 @@ def test_page_furniture():
     page = Page("Intro text here.\n12\nmore text\n\n55\n66\n77\n13\n\nlast text\n14")
     assert page.number == {1, 7, 10}
     assert is_title("Dlm Thresh0ld Of The Harvest") and not is_title("Closed Early.") and not is_title("Tarova") and not is_title("The cat")
-    assert reflow("", {}, set(), {}) == ""
+    assert reflow("", {}, set()) == ""
