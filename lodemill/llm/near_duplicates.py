@@ -1,14 +1,18 @@
 """Near-duplicate records: SuperMinHash signatures, banding, exact verification and union-find grouping.
 
 Records of the same words are one class, so copies cost one signature and one verification, however many there are. The
-slots of a signature are cut into bands; classes that share a band are candidates. One bit of each slot makes a sketch
-that drops candidates far from the threshold before any text is fetched, and the distinct shingles of both texts decide.
-Which keys hold more than one class is found by aggregation over fixed-width rows; only keys with three classes or more
-are joined, and adaptive skew joins split the busy ones.
+slots of a signature are cut into bands, as many and as wide as the threshold asks for; classes that share a band are
+candidates. One bit of each slot makes a sketch that drops candidates far from the threshold before any text is fetched,
+and the distinct shingles of both texts decide. Which keys hold more than one class is found by aggregation over
+fixed-width rows; only keys with three classes or more are joined, and adaptive skew joins split the busy ones.
+
+Pairs are all pairs of classes. Groups need no more than what connects them: the classes of a busy key are first held
+against its least class alone, and only those that this leaves apart are held against the rest of the key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +26,27 @@ from lodemill.llm.components import link_groups
 from lodemill.llm.words import mix, shingles, word_hash, words
 from lodemill.session import Scratch
 
-BANDS, ROWS = 30, 3
 REPRESENTATIVES = 8
 _RANK = np.uint64(56)
 _BATCH = 20_000
 
 
+def bands_for(least: float, miss: float = 7e-4, most_slots: int = 120) -> tuple[int, int]:
+    """Bands and rows a band, as many rows as go: a pair at the threshold shares no band with a chance of ``miss`` at most."""
+    for rows in range(12, 0, -1):
+        hit = min(least**rows, 1 - 1e-12)
+        bands = max(1, math.ceil(math.log(miss) / math.log1p(-hit))) if hit > 0 else most_slots + 1
+        if bands * rows <= most_slots or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def long_signature(elements: np.ndarray, slots: int) -> np.ndarray:
+    """The signature of one large set from those of its parts: the least value of each slot."""
+    parts = [signatures(elements[low : low + _BATCH], np.zeros(len(elements[low : low + _BATCH]), np.int64), 1, slots) for low in range(0, len(elements), _BATCH)]
+    return np.min(parts, axis=0)
+
+
 def signatures(elements: np.ndarray, owner: np.ndarray, count: int, slots: int) -> np.ndarray:
     """SuperMinHash: per set a row of ``slots`` values, each a rank and a random part; all ones where a set is empty.
 
@@ -86,6 +105,9 @@ def _signed(shingle: int, least_words: int, bands: int, rows: int):
                 if len(w) < max(least_words, shingle):
                     continue
                 elements = np.unique(shingles(np.fromiter(map(word_hash, w), dtype=np.uint64), shingle))
+                if len(elements) > _BATCH and held:  # a long text goes alone
+                    yield _rows(held, bands, rows)
+                    held, size = [], 0
                 held.append((kind, rid, text_class(kind, w), elements))
                 size += len(elements)
                 if size >= _BATCH:
@@ -103,7 +125,10 @@ def _rows(held: list[tuple], bands: int, rows: int) -> pd.DataFrame:
     number = {c: k for k, c in enumerate(first)}
     sets = [held[n][3] for n in first.values()]
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    signed = signatures(np.concatenate([np.empty(0, np.uint64), *sets]), owner, len(sets), bands * rows)
+    if len(sets) == 1 and len(sets[0]) > _BATCH:
+        signed = long_signature(sets[0], bands * rows)
+    else:
+        signed = signatures(np.concatenate([np.empty(0, np.uint64), *sets]), owner, len(sets), bands * rows)
     kinds = np.array([word_hash(str(held[n][0])) for n in first.values()], dtype=np.uint64)
     keys = mix(band_keys(signed, rows) ^ kinds[:, None]).view(np.int64)
     bits = np.packbits((mix(signed) & np.uint64(1)).astype(np.uint8), axis=1)
@@ -135,7 +160,9 @@ class NearDuplicates:
     ``shingle`` is the number of consecutive words that are compared.
     """
 
-    def __init__(self, records: DataFrame, shingle: int = 5, least: float = 0.8, least_words: int = 8, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, records: DataFrame, shingle: int = 5, least: float = 0.8, least_words: int = 8):
+        bands, rows = bands_for(least)
+        self.shingle, self.least, self.limit = shingle, least, sketch_limit(bands * rows, least)
         self.scratch = Scratch(records.sparkSession)
         self.records = records.select("kind", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
         signed = self.records.mapInPandas(_signed(shingle, least_words, bands, rows), "kind string, id string, cls binary, keys array<bigint>, sketch array<bigint>")
@@ -150,26 +177,34 @@ class NearDuplicates:
         # Keys are kept once per class only: of the records the class is enough.
         self.members = self.scratch.write(members)
         self.scratch.drop(signed)
-        self.pairs = self.scratch.write(self._verified(shingle, least, sketch_limit(bands * rows, least)))
 
-    def _candidates(self) -> DataFrame:
+    def _keys(self) -> tuple[DataFrame, DataFrame]:
+        """``no, key`` of the classes and ``key, n, a, b`` of the keys that several classes have: how many, the least and the largest."""
         rows = self.classes.select("no", F.explode("keys").alias("key")).repartition("key")
-        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("no").alias("a"), F.max("no").alias("b")).where(F.col("n") > 1)
-        two = keys.where(F.col("n") == 2).select("a", "b")
-        busy = rows.join(keys.where(F.col("n") > 2).select("key"), "key", "left_semi")
-        more = busy.select("key", F.col("no").alias("a")).join(busy.select("key", F.col("no").alias("b")), "key").where(F.col("a") < F.col("b")).select("a", "b")
-        return two.unionByName(more).distinct()
-
-    def _near(self, limit: int) -> DataFrame:
-        """The candidates of one kind whose sketches differ in at most ``limit`` bits."""
-        sketches = self.classes.select("no", "kind", "sketch")
-        both = (
-            self._candidates()
-            .join(sketches.select(F.col("no").alias("a"), F.col("kind").alias("kind_a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("no").alias("b"), F.col("kind").alias("kind_b"), F.col("sketch").alias("sb")), "b")
-        )
+        return rows, rows.groupBy("key").agg(F.count("*").alias("n"), F.min("no").alias("a"), F.max("no").alias("b")).where(F.col("n") > 1)
+
+    def _sketched(self, rows: DataFrame, number: str, suffix: str) -> DataFrame:
+        sketches = self.classes.select(F.col("no").alias(number), F.col("kind").alias(f"kind_{suffix}"), F.col("sketch").alias(f"s{suffix}"))
+        return rows.join(sketches, number)
+
+    def _alike(self):
+        """Whether the sketches ``sa`` and ``sb`` are of one kind and differ in few bits."""
         differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        return both.where(F.col("kind_a").eqNullSafe(F.col("kind_b")) & (differ <= limit)).select("a", "b")
+        return F.col("kind_a").eqNullSafe(F.col("kind_b")) & (differ <= self.limit)
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        return self._sketched(self._sketched(pairs, "a", "a"), "b", "b").where(self._alike()).select("a", "b")
+
+    def _all_candidates(self) -> DataFrame:
+        rows, keys = self._keys()
+        two = self._near(keys.where(F.col("n") == 2).select("a", "b"))
+        busy = rows.join(keys.where(F.col("n") > 2).select("key"), "key", "left_semi")
+        left, right = (self._sketched(busy.select("key", F.col("no").alias(x)), x, x) for x in "ab")
+        return two.unionByName(left.join(right, "key").where((F.col("a") < F.col("b")) & self._alike()).select("a", "b")).distinct()
+
+    def pairs(self) -> DataFrame:
+        """``a, b, similarity`` of all pairs of classes at least ``least`` similar, as a written table."""
+        return self.scratch.write(self._verified(self._all_candidates()))
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """``no, text`` of the classes in the pairs, fetched from the records by the least id of each class."""
@@ -184,8 +219,9 @@ class NearDuplicates:
         found = self.records.join(wanted, ["kind", "id"]).select("no", "kind", "cls", "text").mapInPandas(same, "no bigint, text string")
         return found.groupBy("no").agg(F.first("text").alias("text"))
 
-    def _verified(self, shingle: int, least: float, limit: int) -> DataFrame:
-        pairs = self.scratch.write(self._near(limit))
+    def _verified(self, candidates: DataFrame) -> DataFrame:
+        shingle, least = self.shingle, self.least
+        pairs = self.scratch.write(candidates)
         text = self.scratch.write(self._texts(pairs))
         both = pairs.join(text.select(F.col("no").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("no").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -215,7 +251,7 @@ class NearDuplicates:
         rest = self.members.join(least, ["kind", "cls"]).select("kind", "id_a", F.col("id").alias("id_b"))
         reps = self.classes.select("no", "kind", "reps")
         two = (
-            self.pairs.join(reps.select(F.col("no").alias("a"), "kind", F.col("reps").alias("ra")), "a")
+            self.pairs().join(reps.select(F.col("no").alias("a"), "kind", F.col("reps").alias("ra")), "a")
             .join(reps.select(F.col("no").alias("b"), F.col("reps").alias("rb")), "b")
             .select("kind", F.explode("ra").alias("x"), "rb")
             .select("kind", "x", F.explode("rb").alias("y"))
@@ -223,20 +259,41 @@ class NearDuplicates:
         )
         return one.unionByName(rest).unionByName(two).where(F.col("id_a") < F.col("id_b")).distinct()
 
-    def groups(self) -> DataFrame:
-        """One row per record that takes part: ``kind, id, group_id, links``.
+    def _links(self) -> DataFrame:
+        """Verified pairs that connect all classes that :meth:`pairs` would connect, in number linear in the classes.
 
-        group_id is the least id of all records linked to it, directly or through others; links counts the classes
-        similar to the record's own.
+        A class is held against the least class of its busiest key and of the key whose least class is least. Classes of
+        a key that are connected by then need no more; the others, but those of the key's largest component, are held
+        against all classes of the key in other components.
         """
-        forest = self.pairs.select("a", "b").mapInPandas(_union_find, "a bigint, b bigint")
-        linked = link_groups(forest, "a", "b").select(F.col("member").alias("no"), "group_id")
-        ends = self.pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("links"))
-        classes = self.classes.select("no", "kind", "cls", F.element_at("reps", 1).alias("least")).join(linked, "no", "left").join(ends, "no", "left")
-        classes = classes.select("kind", "cls", "least", F.coalesce("group_id", "no").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        rows, keys = self._keys()
+        two = keys.where(F.col("n") == 2).select("a", "b")
+        busy = self.scratch.write(rows.join(keys.where(F.col("n") > 2).select("key", "n", F.col("a").alias("pivot")), "key"))
+        stars = busy.groupBy("no").agg(F.min("pivot").alias("p"), F.max_by("pivot", F.struct("n", "pivot")).alias("q"))
+        stars = stars.select(F.explode(F.array("p", "q")).alias("a"), F.col("no").alias("b")).where(F.col("a") != F.col("b"))
+        first = self.scratch.write(self._verified(self._near(two.unionByName(stars).distinct())))
+        roots = self._roots(first)
+        busy = busy.join(roots.select(F.col("member").alias("no"), F.col("group_id").alias("g")), "no", "left").select("key", "no", F.coalesce("g", "no").alias("root"))
+        busy = self.scratch.write(busy)
+        each = busy.groupBy("key", "root").agg(F.count("*").alias("n"))
+        apart = each.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).where(F.col("roots") > 1)
+        others = busy.join(apart.select("key", "largest"), "key").where(F.col("root") != F.col("largest")).select("key", F.col("no").alias("a"), F.col("root").alias("root_a"))
+        rest = busy.join(apart.select("key"), "key", "left_semi").select("key", F.col("no").alias("b"), F.col("root").alias("root_b"))
+        both = self._sketched(others, "a", "a").join(self._sketched(rest, "b", "b"), "key").where((F.col("root_a") != F.col("root_b")) & self._alike())
+        second = self._verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return self.scratch.write(first.unionByName(second))
+
+    def _roots(self, links: DataFrame) -> DataFrame:
+        return self.scratch.write(link_groups(links.select("a", "b").mapInPandas(_union_find, "a bigint, b bigint"), "a", "b"))
+
+    def groups(self) -> DataFrame:
+        """One row per record that takes part: ``kind, id, group_id``, the least id of all records linked to it, directly or through others."""
+        linked = self._roots(self._links()).select(F.col("member").alias("no"), "group_id")
+        classes = self.classes.select("no", "kind", "cls", F.element_at("reps", 1).alias("least")).join(linked, "no", "left")
+        classes = classes.select("kind", "cls", "least", F.coalesce("group_id", "no").alias("root"))
         names = classes.groupBy("root").agg(F.min("least").alias("group_id"))
-        named = classes.join(names, "root").select("kind", "cls", "group_id", "links")
-        return self.members.distinct().join(named, ["kind", "cls"]).select("kind", "id", "group_id", "links")
+        named = classes.join(names, "root").select("kind", "cls", "group_id")
+        return self.members.distinct().join(named, ["kind", "cls"]).select("kind", "id", "group_id")
 
 
 def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,6 +24,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).found_pairs().withColumnRenamed("kind", "record_kind")
 
 
+_P1_PAIRS = """
+r AS (SELECT DISTINCT record_kind, id, w FROM (
+    SELECT 'chunk' AS record_kind, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM chunks
+    UNION ALL SELECT 'file', id, regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+') FROM files)
+  WHERE id IS NOT NULL AND len(w) >= 8),
+n AS (SELECT *, row_number() OVER () AS no FROM r),
+g AS (SELECT DISTINCT record_kind, id, no, array_to_string(w[p : p + 2], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM n)),
+size AS (SELECT no, count(*) AS k FROM g GROUP BY no),
+met AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, a.no AS x, b.no AS y, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.record_kind = b.record_kind AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT DISTINCT record_kind, id_a, id_b FROM met JOIN size s ON s.no = x JOIN size t ON t.no = y WHERE both_have >= 0.6::double * (s.k + t.k - both_have))"""
+_P1 = f"WITH {_P1_PAIRS} SELECT * FROM pairs"
+_P1_GROUPS = f"""
+WITH RECURSIVE {_P1_PAIRS},
+links AS (SELECT record_kind, id_a AS a, id_b AS b FROM pairs UNION SELECT record_kind, id_b, id_a FROM pairs UNION SELECT record_kind, id, id FROM r),
+reach(record_kind, id, other) AS (SELECT record_kind, a, b FROM links UNION SELECT reach.record_kind, reach.id, links.b FROM reach JOIN links ON reach.record_kind = links.record_kind AND reach.other = links.a)
+SELECT record_kind, id, min(other) AS group_id FROM reach GROUP BY record_kind, id
+"""
+
+
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("kind", "record_kind")
 
@@ -44,6 +63,19 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_vectors(table(spark, sf_dir, "chunks"))
 
 
+_P3 = """
+WITH v AS (SELECT DISTINCT id, vector::double[64] AS v FROM chunks
+  WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+d AS (SELECT a.id, b.id AS neighbour, min(array_distance(a.v, b.v) ^ 2) AS square FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id, b.id),
+k AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY round(square, 9), neighbour) AS rank, neighbour FROM d)
+SELECT id, rank::int AS rank, neighbour FROM k WHERE rank <= 5
+"""
+
+
+def p3_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_neighbours(spark, sf_dir).drop("square")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_neighbours(spark, sf_dir).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
@@ -188,6 +220,7 @@ QUERIES = {
     "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p3_ranks": p3_ranks,
     "p4_found": p4_found,
     "p4_group_sizes": p4_group_sizes,
     "p6_found": p6_found,
@@ -204,6 +237,10 @@ QUERIES = {
     "p9_rates": p9_rates,
 }
 SQL = {
+    "p1_found": _P1,
+    "p1_groups": _P1_GROUPS,
+    "p3_ranks": _P3,
+    "p3_found": f"SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM ({_P3})",
     "p4_found": _P4,
     "p4_group_sizes": f"SELECT group_id, count(*) AS files FROM ({_P4}) GROUP BY group_id",
     "p6_found": _P6,

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lodemill.llm.near_duplicates import BANDS, ROWS, NearDuplicates, band_keys, signatures
+from lodemill.llm.near_duplicates import NearDuplicates, band_keys, bands_for, long_signature, signatures
 from lodemill.llm.words import words
 
 
@@ -85,4 +85,36 @@ def test_signature_estimates_similarity():
 
 
 def test_a_pair_at_the_threshold_is_hardly_ever_missed():
-    assert (1 - 0.6**ROWS) ** BANDS < 0.001
+    assert bands_for(0.6) == (30, 3) and bands_for(1.0) == (1, 12)
+    for least in (0.2, 0.3, 0.4, 0.5, 0.7, 0.8, 0.9, 0.95):
+        bands, rows = bands_for(least)
+        assert (1 - least**rows) ** bands < 0.001 and (bands * rows <= 120 or rows == 1)
+
+
+def test_a_low_threshold_finds_all(spark):
+    rows = collection(random.Random(9))
+    assert {tuple(r) for r in NearDuplicates(frame(spark, rows), shingle=3, least=0.3).found_pairs().collect()} == brute(rows, 0.3)
+
+
+def test_signature_of_parts():
+    elements = np.random.default_rng(3).integers(0, 2**63, 50_000, dtype=np.uint64)
+    assert (long_signature(elements, 90) == signatures(elements, np.zeros(len(elements), np.int64), 1, 90)).all()
+
+
+def test_groups_of_a_busy_template(spark):
+    """Near copies of a template, some too far from it but near another copy: the groups are those of all pairs."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for n in range(150):
+        text = list(base)
+        for k in rng.sample(range(40), rng.choice([0, 1, 1, 2, 3, 5])):
+            text[k] = f"x{rng.randrange(500)}"
+        rows.append(("chunk", f"{n:03d}", " ".join(text)))
+    near = NearDuplicates(frame(spark, rows), shingle=3, least=0.6)
+    group = {r.id: r.group_id for r in near.groups().collect()}
+    up = {r[1]: r[1] for r in rows}
+    for _ in range(20):
+        for _, a, b in brute(rows):
+            up[a] = up[b] = min(up[a], up[b])
+    assert group == up and len(set(group.values())) > 1
