@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from lodemill.llm.vptree import Hits, Tree, search
 from lodemill.session import Scratch
 
-SAMPLE = 20_000
+SAMPLE, MOST_SAMPLE = 20_000, 320_000
 SHARD = 16_384
 LEAST_SHARDS = 16
 BUCKET = 256
@@ -72,7 +72,7 @@ def nearest_points(points: DataFrame, top, margin: float, k: int, factor: float
     split = [(leaf, n) for leaf, n in parts.items() if n > 1]
     of = F.element_at(F.create_map(*[F.lit(x) for pair in split for x in pair]), F.col("leaf")) if split else F.lit(None).cast("bigint")
     home = points.select("no", "vec", "leaf", F.pmod(F.xxhash64("no"), F.coalesce(of.cast("bigint"), F.lit(1).cast("bigint"))).alias("part"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["count"] for r in sizes) // SHARD))  # so that no task grows with the input
     keyed = home.repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "no")
     first = scratch.write(keyed.mapInPandas(_search_home(k, factor, bucket, margin), "leaf bigint, part bigint, no bigint, vec binary, reach double, square array<double>, number array<bigint>"))
     scratch.drop(points)
@@ -179,8 +179,8 @@ def nearest_vectors(items: DataFrame, item_id: str = "id", vector: str = "vector
 
     Only vectors of exactly ``dimension`` finite values that are not all zero take part. Repeated rows count once; null
     ids take no part; other columns are ignored. Fewer than k others give fewer rows. With ``factor=1`` the result is
-    exact; else a hit may be missed where a side of a tree was skipped. The tree over shards is fitted on at most ``sample``
-    vectors, all are indexed.
+    exact; else a hit may be missed where a side of a tree was skipped. The tree over shards is fitted on ``sample`` vectors,
+    or on sixteen a shard if those are more, at most ``MOST_SAMPLE``, which is enough for 20,000 shards; all are indexed.
     """
     spark = items.sparkSession
     scratch = Scratch(spark)
@@ -190,10 +190,12 @@ def nearest_vectors(items: DataFrame, item_id: str = "id", vector: str = "vector
     count = members.count()
     if count == 0:
         return spark.createDataFrame([], "id string, rank int, neighbour string, square double")
+    shards = max(LEAST_SHARDS, -(-count // shard))
+    sample = max(sample, min(16 * shards, MOST_SAMPLE))
     share = min(1.0, 0.9 * sample / count)
     some = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).mapInPandas(_usable(dimension), "id string, h binary, vec binary")
     rows = some.limit(sample).select("vec").collect() or usable.limit(1).select("vec").collect()
-    tree, margin = shard_tree([r.vec for r in rows], max(LEAST_SHARDS, -(-count // shard)), k, factor)
+    tree, margin = shard_tree([r.vec for r in rows], shards, k, factor)
     top = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
