@@ -10,6 +10,7 @@ Training uses a bounded sample of labelled documents (``most_labelled``); every
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The categories of the labels.
@@ -28,6 +29,7 @@ _ALIKE = str.maketrans("аеорсухіјѕԁһӏкмтвнгαοερτυικν
 _LEET = str.maketrans("0134578@$!|", "oieastbasil")
 
 WINDOW, STRIDE = 24, 12
+SEEDS = (3, 5)
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 13
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_](?:[^\s,.;:?()\[\]<>\"“”/=_-]*[^\W_])?")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\W_])")
@@ -74,7 +76,7 @@ class Words:
             if k is None:
                 k = self.number[w] = len(self.word_row)
                 self.word_row.append(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % WORD_ROWS)
-                marked = f"^{w[:40]}$"
+                marked = f"^{w}$"
                 self.char_rows.append([xxhash.xxh32_intdigest(marked[i : i + 3].encode("utf-8", "surrogatepass"), 7) % CHAR_ROWS for i in range(max(1, len(marked) - 2))])
             out.append(k)
         return out
@@ -104,6 +106,8 @@ class Net:
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows. ``x``: inputs of distinct words; ``index``: (windows, places) rows of x; ``mask``: which places hold words."""
+        if not keep:
+            return self.logits(self.projected(x), index, mask)
         count, length = index.shape
         hidden = self.sizes[2]
         states = np.empty((length, count, 2 * hidden), np.float32)
@@ -121,8 +125,7 @@ class Net:
                 n = np.tanh(gates[:, 2 * hidden :] + r * rec[:, 2 * hidden :])
                 m = mask[:, t : t + 1]
                 after = h + m * (1 - z) * (n - h)
-                if keep:
-                    steps.append((t, h, z, r, n, rec[:, 2 * hidden :]))
+                steps.append((t, h, z, r, n, rec[:, 2 * hidden :]))
                 h = after
                 states[t, :, side] = h
             kept[way] = steps
@@ -132,7 +135,54 @@ class Net:
         alpha = e / e.sum(axis=0)
         pooled = np.einsum("tc,tch->ch", alpha, states)
         logits = pooled @ self.p["C"] + self.p["c"]
-        return (logits, (kept, states, u, alpha, pooled)) if keep else logits
+        return logits, (kept, states, u, alpha, pooled)
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """What the gates of either direction see of each input."""
+        return np.stack([x @ self.p[f"W{way}"] + self.p[f"b{way}"] for way in "fb"])
+
+    def logits(self, both: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logits of windows of projected inputs: both directions at once and in place, without what training needs."""
+        count, length = index.shape
+        hidden = self.sizes[2]
+        U = np.stack([self.p["Uf"], self.p["Ub"]])
+        h = np.zeros((2, count, hidden), np.float32)
+        states = np.empty((length, count, 2 * hidden), np.float32)
+        full = bool(mask.all())
+        columns = np.ascontiguousarray(index.T)
+        rec, gates = np.empty((2, count, 3 * hidden), np.float32), np.empty((2, count, 3 * hidden), np.float32)
+        for step in range(length):
+            places = (step, length - 1 - step)
+            for way, t in enumerate(places):
+                np.take(both[way], columns[t], axis=0, out=gates[way])
+            np.matmul(h, U, out=rec)
+            zr, n = gates[:, :, : 2 * hidden], gates[:, :, 2 * hidden :]
+            zr += rec[:, :, : 2 * hidden]
+            zr *= 0.5  # a logistic function is a tanh of half its argument
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            candidate = rec[:, :, 2 * hidden :]
+            candidate *= zr[:, :, hidden:]
+            n += candidate
+            np.tanh(n, out=n)
+            n -= h
+            n *= 1 - zr[:, :, :hidden]
+            if not full:
+                n *= np.stack([mask[:, t] for t in places])[:, :, None]
+            h += n
+            for way, t in enumerate(places):
+                states[t, :, way * hidden : (way + 1) * hidden] = h[way]
+        u = states @ self.p["A"]
+        u += self.p["a"]
+        np.tanh(u, out=u)
+        score = u @ self.p["v"]
+        if not full:
+            score += np.where(mask.T > 0, 0, -1e9).astype(np.float32)
+        score -= score.max(axis=0)
+        np.exp(score, out=score)
+        score /= score.sum(axis=0)
+        return np.einsum("tc,tch->ch", score, states) @ self.p["C"] + self.p["c"]
 
     def backward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, kept: tuple, dlogits: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters but the embeddings, and of ``x``."""
@@ -152,6 +202,7 @@ class Net:
             U = self.p[f"U{way}"]
             side = slice(0, hidden) if way == "f" else slice(hidden, None)
             dproj = np.zeros((len(x), 3 * hidden), np.float32)
+            dsteps = np.empty((index.shape[1], index.shape[0], 3 * hidden), np.float32)
             dU = np.zeros_like(U)
             dh = np.zeros((index.shape[0], hidden), np.float32)
             for t, h, z, r, n, rec in reversed(steps[way]):
@@ -160,42 +211,64 @@ class Net:
                 dn = dh * m * (1 - z) * (1 - n * n)
                 dz = dh * m * (h - n) * z * (1 - z)
                 dr = dn * rec * r * (1 - r)
-                dgates = np.concatenate([dz, dr, dn], axis=1)
+                dsteps[t] = np.concatenate([dz, dr, dn], axis=1)
                 drec = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(dproj, index[:, t], dgates)
                 dU += h.T @ drec
                 dh = dh * (1 - m * (1 - z)) + drec @ U.T
+            met, sums = summed_rows(index.T.ravel(), dsteps.reshape(-1, 3 * hidden))
+            dproj[met] = sums
             g |= {f"U{way}": dU, f"W{way}": x.T @ dproj, f"b{way}": dproj.sum(axis=0)}
             dx += dproj @ self.p[f"W{way}"].T
         return g, dx
 
 
+def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(rows) else np.empty(0, np.int64)
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0) if len(rows) else values
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _packed(spans: list[tuple[list[int], int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of windows, and each window as places among them with a mask."""
+def _spread(spans: list[tuple[list[int], int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each window as the numbers of its words, with a mask."""
+    sizes = np.array([b - a for _, a, b in spans], dtype=np.int64)
+    mask = (np.arange(WINDOW) < sizes[:, None]).astype(np.float32)
     index = np.zeros((len(spans), WINDOW), np.int64)
-    mask = np.zeros((len(spans), WINDOW), np.float32)
-    for k, (words, a, b) in enumerate(spans):
-        index[k, : b - a] = words[a:b]
-        mask[k, : b - a] = 1
+    index[mask > 0] = np.fromiter((w for words, a, b in spans for w in words[a:b]), dtype=np.int64, count=int(sizes.sum()))
+    return index, mask
+
+
+def _packed(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of windows, and each window as places among them."""
     used, place = np.unique(index, return_inverse=True)
-    return used, place.reshape(index.shape), mask
+    return used, place.reshape(index.shape)
+
 
+def score_windows(nets: list[Net], vocabulary: Words, index: np.ndarray, mask: np.ndarray, batch: int = 1024) -> np.ndarray:
+    """The mean of the networks' logits of each window of numbered words."""
+    out = np.zeros((len(index), len(CATEGORIES)), np.float32)
+    every = np.arange(len(vocabulary.word_row))
+    for net in nets:
+        both = net.projected(net.inputs(vocabulary, every)[0])
+        for low in range(0, len(index), batch):
+            out[low : low + batch] += net.logits(both, index[low : low + batch], mask[low : low + batch])
+    return out / len(nets)
 
-def score_texts(nets: list[Net], texts: list, batch: int = 2048) -> np.ndarray:
+
+def score_texts(nets: list[Net], texts: list) -> np.ndarray:
     """The highest score of any window of each text by category, by the mean of the networks; zeros for a text without words."""
     vocabulary = Words()
     numbered = [vocabulary.numbers(tokens(t)) for t in texts]
     spans = [(n, a, b) for n in numbered for a, b in windows(len(n))]
     owner = np.repeat(np.arange(len(texts)), [len(windows(len(n))) for n in numbered])
     out = np.zeros((len(texts), len(CATEGORIES)), np.float32)
-    for low in range(0, len(spans), batch):
-        used, index, mask = _packed(spans[low : low + batch])
-        logits = sum(net.forward(net.inputs(vocabulary, used)[0], index, mask) for net in nets) / len(nets)
-        np.maximum.at(out, owner[low : low + batch], sigmoid(logits))
+    for low in range(0, len(spans), 16_384):  # so that a very long text needs no more memory than a batch of others
+        np.maximum.at(out, owner[low : low + 16_384], sigmoid(score_windows(nets, vocabulary, *_spread(spans[low : low + 16_384]))))
     return out
 
 
@@ -208,8 +281,8 @@ class Trainer:
         self.s = {k: np.zeros_like(v) for k, v in self.m.items()}
         self.rows = {k: np.full(len(net.p[k]), 1e-3, np.float32) for k in ("word", "char")}
 
-    def update(self, vocabulary: Words, spans: list, target: np.ndarray, weight: np.ndarray, drop: np.random.Generator) -> float:
-        used, index, mask = _packed(spans)
+    def update(self, vocabulary: Words, index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray, drop: np.random.Generator) -> float:
+        used, index = _packed(index)
         x, (rows, flat, sizes) = self.net.inputs(vocabulary, used)
         word = self.net.sizes[0]
         x[drop.random(len(x)) < 0.3, :word] = 0  # so that spelling and context count as well
@@ -231,24 +304,22 @@ class Trainer:
         return float(-(weight * (target * np.log(p + 1e-7) + (1 - target) * np.log(1 - p + 1e-7))).sum() / total)
 
     def _rows(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        distinct, place = np.unique(rows, return_inverse=True)
-        summed = np.zeros((len(distinct), gradient.shape[1]), np.float32)
-        np.add.at(summed, place, gradient)
+        distinct, summed = summed_rows(rows, gradient)
         self.rows[name][distinct] += (summed**2).sum(axis=1)
         self.net.p[name][distinct] -= self.row_rate * summed / np.sqrt(self.rows[name][distinct])[:, None]
 
 
-def train(texts: list, targets: np.ndarray, epochs: int = 10, batch: int = 128, seeds: tuple[int, ...] = (3, 5)) -> list[Net]:
+def train(texts: list, targets: np.ndarray, epochs: int = 10, batch: int = 128, seeds: tuple[int, ...] = SEEDS) -> list[Net]:
     """Networks that differ in their random start, from texts and the share of reviewers who saw each category in them.
 
     Shares of one half tell nothing and have no weight. In the first epochs the window of a label is the one whose
     words are most typical of labelled texts, then the one that the network scores highest. What networks learn by
     heart from mistaken labels differs, so their mean is better than each.
     """
-    return [_fit(texts, targets, epochs, batch, seed) for seed in seeds]
+    return [fit(texts, targets, seed, epochs, batch) for seed in seeds]
 
 
-def _fit(texts: list, targets: np.ndarray, epochs: int, batch: int, seed: int) -> Net:
+def fit(texts: list, targets: np.ndarray, seed: int, epochs: int = 10, batch: int = 128) -> Net:
     rng = np.random.default_rng(seed)
     net, vocabulary = Net(seed=seed), Words()
     trainer = Trainer(net)
@@ -257,12 +328,13 @@ def _fit(texts: list, targets: np.ndarray, epochs: int, batch: int, seed: int) -
     of = [[] for _ in texts]
     for k, d in enumerate(np.repeat(np.arange(len(texts)), [len(windows(len(n))) for n in numbered])):
         of[d].append(k)
+    index, mask = _spread(spans)
     typical = _typical(numbered, targets, len(vocabulary.word_row))
     for epoch in range(epochs):
         if epoch < 2:
             scores = np.array([[typical[c][np.unique(n[a:b])].sum() for c in range(len(CATEGORIES))] for n, a, b in spans], dtype=np.float32)
         else:
-            scores = np.concatenate([np.zeros((0, len(CATEGORIES)), np.float32), *[_scored(net, vocabulary, spans[low : low + 4096]) for low in range(0, len(spans), 4096)]])
+            scores = score_windows([net], vocabulary, index, mask)
         chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d, mine in enumerate(of):
             if not mine:
@@ -281,17 +353,11 @@ def _fit(texts: list, targets: np.ndarray, epochs: int, batch: int, seed: int) -
         order = rng.permutation(sorted(chosen))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
-            trainer.update(vocabulary, [spans[k] for k in part], np.stack([chosen[k][0] for k in part]), np.stack([chosen[k][1] for k in part]), rng)
+            trainer.update(vocabulary, index[part], mask[part], np.stack([chosen[k][0] for k in part]), np.stack([chosen[k][1] for k in part]), rng)
         trainer.rate *= 0.88
     return net
 
 
-def _scored(net: Net, vocabulary: Words, spans: list) -> np.ndarray:
-    used, index, mask = _packed(spans)
-    x, _ = net.inputs(vocabulary, used)
-    return net.forward(x, index, mask)
-
-
 def _typical(numbered: list[list[int]], targets: np.ndarray, size: int) -> np.ndarray:
     """Per category how much more texts with it hold each word than texts without any."""
     out = np.zeros((len(CATEGORIES), size), np.float32)
@@ -312,15 +378,26 @@ def _typical(numbered: list[list[int]], targets: np.ndarray, size: int) -> np.nd
 # ---- over tables ----
 
 
+def reviewer_shares(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and per category the share of the document's reviewers who saw it."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("reviewer").isNotNull() & F.col("category").isin("none", *CATEGORIES))
+    seen = known.groupBy("doc_id", "reviewer").agg(*[F.max((F.col("category") == c).cast("double")).alias(c) for c in CATEGORIES])
+    return seen.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
+
+
+def reviewed(labels: DataFrame) -> DataFrame:
+    """``doc_id, categories``: what most of a document's reviewers saw in it."""
+    found = F.array_compact(F.array(*[F.when(F.col(c) > 0.5, c) for c in CATEGORIES]))
+    return reviewer_shares(labels).select("doc_id", found.alias("categories"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000) -> tuple[list[str], np.ndarray]:
     """Texts and shares of at most ``most_labelled`` labelled documents, chosen by a hash of the id.
 
     A reviewer may see several categories in a document; rows without id, reviewer or category say nothing, repeated
     rows count once. The share of a category is that of the reviewers of the document who saw it.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("reviewer").isNotNull() & F.col("category").isin("none", *CATEGORIES))
-    seen = known.groupBy("doc_id", "reviewer").agg(*[F.max((F.col("category") == c).cast("double")).alias(c) for c in CATEGORIES])
-    shares = seen.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    shares = reviewer_shares(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = docs.select(F.col("doc_id"), "text").where(F.col("text").isNotNull())
     # The sample has a bound, so that sending it to all tasks spares a shuffle of the texts.
     rows = texts.join(F.broadcast(shares), "doc_id").orderBy("doc_id").limit(most_labelled).collect()
@@ -335,11 +412,7 @@ def score_documents(docs: DataFrame, nets: list[Net], threshold: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast([(net.p, net.sizes) for net in nets])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = []
-        for p, sizes in shared.value:
-            net = Net.__new__(Net)
-            net.p, net.sizes = p, sizes
-            here.append(net)
+        here = [_net(*x) for x in shared.value]
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low : low + 1000]
@@ -355,12 +428,33 @@ def score_documents(docs: DataFrame, nets: list[Net], threshold: float = 0.5) ->
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, f"doc_id {kind}, {columns}, categories array<string>")
 
 
+def trained(spark: SparkSession, texts: list[str], targets: np.ndarray, epochs: int = 10, seeds: tuple[int, ...] = SEEDS) -> list[Net]:
+    """:func:`train` with each network in a task of its own."""
+    sample = spark.sparkContext.broadcast((texts, targets))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for seed in batch["seed"]:
+                net = fit(*sample.value, seed, epochs)
+                yield pd.DataFrame({"seed": [seed], "net": [pickle.dumps((net.p, net.sizes))]})
+
+    each = spark.range(len(seeds), numPartitions=len(seeds)).select(F.element_at(F.array(*map(F.lit, seeds)), (F.col("id") + 1).cast("int")).alias("seed"))
+    rows = each.mapInPandas(run, "seed int, net binary").collect()  # one row a network, of fixed size
+    return [_net(*pickle.loads(r.net)) for r in sorted(rows, key=lambda r: r.seed)]
+
+
+def _net(p: dict, sizes: tuple) -> Net:
+    net = Net.__new__(Net)
+    net.p, net.sizes = p, sizes
+    return net
+
+
 def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, epochs: int = 10) -> DataFrame:
     """:func:`score_documents` with a network trained on the labels. Without labelled documents every score is that of an untrained network and no category is given."""
     texts, targets = labelled_sample(docs, labels, most_labelled)
     if not len(texts):
         return score_documents(docs, [Net()], 2.0)
-    return score_documents(docs, train(texts, targets, epochs))
+    return score_documents(docs, trained(docs.sparkSession, texts, targets, epochs))
 
 
 def rates(docs: DataFrame, scores: DataFrame) -> DataFrame:

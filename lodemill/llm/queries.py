@@ -213,6 +213,18 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), p9_scores(spark, sf_dir))
 
 
+def p9_reviewed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates among the reviewed documents, by their reviewers."""
+    return abuse.rates(table(spark, sf_dir, "documents"), abuse.reviewed(table(spark, sf_dir, "review_labels")))
+
+
+_P9_REVIEWED = """
+WITH k AS (SELECT doc_id, reviewer, max((category = 'abusive')::int) AS a, max((category = 'hateful')::int) AS h, max((category = 'sexual')::int) AS s FROM review_labels
+  WHERE doc_id IS NOT NULL AND reviewer IS NOT NULL AND category IN ('none', 'abusive', 'hateful', 'sexual') GROUP BY ALL),
+m AS (SELECT doc_id, avg(a) > 0.5 AS a, avg(h) > 0.5 AS h, avg(s) > 0.5 AS s FROM k GROUP BY doc_id)
+SELECT lower(trim(source)) AS source, count(*) AS documents, avg(a::int) AS abusive_rate, avg(h::int) AS hateful_rate, avg(s::int) AS sexual_rate
+FROM m JOIN documents USING (doc_id) GROUP BY 1
+"""
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -235,6 +247,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
+    "p9_reviewed_rates": p9_reviewed_rates,
 }
 SQL = {
     "p1_found": _P1,
@@ -246,5 +259,6 @@ SQL = {
     "p6_found": _P6,
     "p7_found": _P7,
     "p8_found": _P8,
+    "p9_reviewed_rates": _P9_REVIEWED,
     "p8_shares_in_characters": _P8_CHARACTERS,
 }

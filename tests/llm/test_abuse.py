@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lodemill.llm.abuse import CATEGORIES, STRIDE, WINDOW, Net, Words, _packed, labelled_sample, rates, score_texts, scored, tokens, train, windows
+from lodemill.llm.abuse import CATEGORIES, STRIDE, WINDOW, Net, Words, _packed, _spread, labelled_sample, rates, score_texts, scored, summed_rows, tokens, train, trained, windows
 
 PLAIN = "the lantern opens every harbour while another gardener repairs seven copper valves and our notebook describes quarterly tunnels".split()
 PHRASES = {
@@ -44,7 +44,8 @@ def test_held_out_accuracy():
 def test_gradients():
     net, words = Net(4, 4, 5), Words()
     spans = [(n := words.numbers(t.split()), 0, len(n)) for t in ("a b c d", "e f", "a e g h i")]
-    used, index, mask = _packed(spans)
+    index, mask = _spread(spans)
+    used, index = _packed(index)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x = net.inputs(words, used)[0].astype(np.float64)
     w = np.random.default_rng(0).normal(size=(3, 3))
@@ -61,6 +62,22 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[at]) < 0.02 * abs(g[at]) + 2e-3, name
 
 
+def test_rows_are_summed():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 50):
+        rows, values = rng.integers(0, 7, n), rng.normal(size=(n, 3))
+        distinct, sums = summed_rows(rows, values)
+        assert distinct.tolist() == sorted(set(rows.tolist()))
+        assert all(np.allclose(s, values[rows == r].sum(axis=0)) for r, s in zip(distinct, sums))
+
+
+def test_networks_of_tasks_are_those_of_the_driver(spark):
+    texts, targets = sample(random.Random(3), 60)
+    here, there = train(texts, targets, epochs=2), trained(spark, texts, targets, epochs=2)
+    assert len(here) == len(there) and all(np.allclose(a.p[k], b.p[k], atol=1e-5) for a, b in zip(here, there) for k in a.p)
+    assert np.allclose(score_texts(here, texts), score_texts(there, texts), atol=1e-4)
+
+
 def test_tokens_fold_disguises():
     assert tokens("You dіmwіt, M0R0N! n u m b s k u l l feeetish") == ["you", "dimwit", "moron", "numbskull", "fetish"]
     assert tokens(None) == tokens("") == []
