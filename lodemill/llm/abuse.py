@@ -351,7 +351,7 @@ def fit(texts: list, targets: np.ndarray, seed: int, epochs: int = 10, batch: in
                 extra = mine[int(rng.integers(len(mine)))]
                 chosen.setdefault(extra, (np.zeros(len(CATEGORIES), np.float32), np.ones(len(CATEGORIES), np.float32)))
         order = rng.permutation(sorted(chosen))
-        size = min(batch, max(16, len(order) // 25))  # few labels take small batches, else there are too few steps
+        size = min(batch, max(16, len(order) // 50))  # few labels take small batches, else there are too few steps
         for low in range(0, len(order), size):
             part = order[low : low + size]
             trainer.update(vocabulary, index[part], mask[part], np.stack([chosen[k][0] for k in part]), np.stack([chosen[k][1] for k in part]), rng)
