@@ -2,7 +2,7 @@
 
 Records of the same words are one class, so copies cost one signature and one verification, however many there are. The
 slots of a signature are cut into bands, as many and as wide as the threshold asks for; classes that share a band are
-candidates. One bit of each slot makes a sketch that drops candidates far from the threshold before any text is fetched,
+candidates. Two bits of each slot make a sketch that drops candidates far from the threshold before any text is fetched,
 and the distinct shingles of both texts decide. Which keys hold more than one class is found by aggregation over
 fixed-width rows; only keys with three classes or more are joined, and adaptive skew joins split the busy ones.
 
@@ -131,10 +131,8 @@ def _rows(held: list[tuple], bands: int, rows: int) -> pd.DataFrame:
         signed = signatures(np.concatenate([np.empty(0, np.uint64), *sets]), owner, len(sets), bands * rows)
     kinds = np.array([word_hash(str(held[n][0])) for n in first.values()], dtype=np.uint64)
     keys = mix(band_keys(signed, rows) ^ kinds[:, None]).view(np.int64)
-    bits = np.packbits((mix(signed) & np.uint64(1)).astype(np.uint8), axis=1)
-    words_ = np.zeros((len(sets), -(-bits.shape[1] // 8) * 8), dtype=np.uint8)
-    words_[:, : bits.shape[1]] = bits
-    sketch = words_.view(np.int64)
+    random = mix(signed)
+    sketch = np.concatenate([_plane((random >> np.uint64(k)) & np.uint64(1)) for k in (0, 1)], axis=1)
     return pd.DataFrame(
         {
             "kind": [h[0] for h in held],
@@ -146,9 +144,16 @@ def _rows(held: list[tuple], bands: int, rows: int) -> pd.DataFrame:
     )
 
 
-def sketch_limit(slots: int, least: float, deviations: float = 4.0) -> int:
-    """Most bits of ``slots`` that may differ: what a pair just ``least`` similar has, and some standard deviations more."""
-    p = (1 - least) / 2
+def _plane(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit numbers."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def sketch_limit(slots: int, least: float, deviations: float = 3.5) -> int:
+    """Most slots whose two bits may differ: what a pair just ``least`` similar has, and some standard deviations more."""
+    p = (1 - least) * 3 / 4
     return int(slots * p + deviations * (slots * p * (1 - p)) ** 0.5)
 
 
@@ -163,6 +168,7 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, shingle: int = 5, least: float = 0.8, least_words: int = 8):
         bands, rows = bands_for(least)
         self.shingle, self.least, self.limit = shingle, least, sketch_limit(bands * rows, least)
+        self.longs = -(-bands * rows // 64)
         self.scratch = Scratch(records.sparkSession)
         self.records = records.select("kind", "id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
         signed = self.records.mapInPandas(_signed(shingle, least_words, bands, rows), "kind string, id string, cls binary, keys array<bigint>, sketch array<bigint>")
@@ -188,8 +194,9 @@ class NearDuplicates:
         return rows.join(sketches, number)
 
     def _alike(self):
-        """Whether the sketches ``sa`` and ``sb`` are of one kind and differ in few bits."""
-        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        """Whether the sketches ``sa`` and ``sb`` are of one kind and differ in few slots."""
+        apart = [F.col("sa")[k].bitwiseXOR(F.col("sb")[k]) for k in range(2 * self.longs)]
+        differ = sum((F.bit_count(apart[k].bitwiseOR(apart[k + self.longs])) for k in range(self.longs)), F.lit(0))
         return F.col("kind_a").eqNullSafe(F.col("kind_b")) & (differ <= self.limit)
 
     def _near(self, pairs: DataFrame) -> DataFrame:
