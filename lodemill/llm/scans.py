@@ -352,6 +352,7 @@ class ScannedTexts:
         fits = meant.select(*_LOOKED).unionByName(edited.select(*_LOOKED))
         # All candidates of a word: it has as many as the vocabulary has words so near to it.
         self.fits = self.scratch.write(fits.groupBy("word", "lang").agg(F.collect_list(F.struct("plain", "cost", "there", "n", "correction", "places", "sizes")).alias("fits")))
+        self.numbers = self.scratch.write(counts.where(F.col("what").isin("word", "part", "broken") & is_misread_number(F.col("word"))).select("word", "lang").distinct())
         self.clean = self.scratch.write(totals.where(F.col("own") >= least).join(hits.select("word").distinct(), "word", "left_anti").select("word", "own"))
         self.frequent = self.clean.orderBy(F.desc("own"), "word").limit(well_known).select("word")
         self.compounds = counts.where(F.col("what") == "compound").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word")
@@ -359,6 +360,11 @@ class ScannedTexts:
         self.doubtful = self.scratch.write(self._doubtful())
         self.chosen = self.scratch.write(self._chosen())
 
+    @staticmethod
+    def _for_all(keys: DataFrame, most: int = 500_000) -> DataFrame:
+        """A written table of short keys, to be sent to all tasks if it has few rows; else joins shuffle."""
+        return F.broadcast(keys) if keys.count() <= most else keys
+
     def _looked_up(self, counts: DataFrame, totals: DataFrame, ratio: float, least: int, part_words: int, asked_words: int) -> DataFrame:
         # Each word with the languages of the texts it stands in; a broken word need not occur whole, its parts must.
         asked = counts.where(F.col("what") != "compound").groupBy("word").agg(F.collect_set("lang").alias("langs"), F.bool_or(F.col("what") == "broken").alias("broken"))
@@ -401,7 +407,9 @@ class ScannedTexts:
         halves = halves.select("h", "lang", "x.line_no", "x.word", F.length("x.word").alias("at"), F.lit(0).alias("other"), nothing.alias("before"), nothing.alias("behind"))
         # The frequent words are at most ``well_known``, so they may be sent to all tasks.
         rows = plain.unionByName(whole).unionByName(halves).join(F.broadcast(self.frequent), "word", "left_anti").where(~F.col("word").rlike(r"^\p{N}+$"))
-        rows = rows.join(self.fits, ["word", "lang"], "left")
+        # Of the occurrences few have candidates: their keys decide first, so that the others meet no shuffle where the keys are few.
+        asked = self._for_all(self.scratch.write(self.fits.select("word", "lang").unionByName(self.numbers)))
+        rows = rows.join(asked, ["word", "lang"], "left_semi").join(self.fits, ["word", "lang"], "left")
         return rows.where(F.col("fits").isNotNull() | is_misread_number(F.col("word"))).select("h", "line_no", "word", "at", "other", "before", "behind", "fits")
 
     def _chosen(self) -> DataFrame:
@@ -411,7 +419,7 @@ class ScannedTexts:
         one = asked.where(alone).select("h", "word", F.element_at("fits", 1).alias("f")).dropDuplicates(["h", "word"]).select("h", "word", "f.correction", "f.places", "f.sizes")
         several = asked.where(~alone).select("h", "word", "before", "behind", F.explode("fits").alias("f"))
         pairs = several.select(F.explode(F.array(F.struct(F.col("before").alias("x"), F.col("f.correction").alias("y")), F.struct(F.col("f.correction").alias("x"), F.col("behind").alias("y")))).alias("p")).select("p.*")
-        pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+        pairs = self._for_all(self.scratch.write(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()))
         beside = self.parsed.where(F.size("words") > 1).select(F.explode(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p")).select("p.*")
         beside = self.scratch.write(beside.join(pairs, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.count("*").alias("seen")))
         several = several.withColumn("c", F.col("f.correction"))
