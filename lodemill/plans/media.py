@@ -108,7 +108,7 @@ def box_matches(spark, sf_dir) -> DataFrame:
     box = lambda by: F.array(by, F.lit(0.0), F.col("q") + by, F.lit(10.0))
     none = F.lit(0.0)
     both = lines.groupBy("id").agg(F.collect_set(box(none)).alias("truth"), F.collect_set(F.when(F.col("l_returnflag") != "R", box(F.col("l_linenumber").cast("double")))).alias("found"))
-    return derived.best_match_mean(both).select("id", F.round("score", 4).alias("score"))
+    return derived.best_match_mean(both).select("id", F.round("score", 12).alias("score"))
 
 
 def visual_payloads(spark, sf_dir) -> DataFrame:
@@ -208,7 +208,7 @@ SQL = {
     "box_matches": """WITH l AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS n, l_quantity AS q, l_returnflag AS f FROM lineitem),
       t AS (SELECT DISTINCT id, q FROM l), b AS (SELECT t.id, t.q, coalesce(max(CASE WHEN greatest(0, least(t.q, n + l.q) - n) = 0 THEN 0 ELSE greatest(0, least(t.q, n + l.q) - n) / (t.q + l.q - greatest(0, least(t.q, n + l.q) - n)) END), 0) AS best
         FROM t LEFT JOIN l ON l.id = t.id AND f <> 'R' GROUP BY 1, 2)
-      SELECT id, round(avg(best), 4) AS score FROM b GROUP BY 1""",
+      SELECT id, round(avg(best), 12) AS score FROM b GROUP BY 1""",
     "visual_payloads": """SELECT vec_id, 'space' || (label % 3) AS space, len(embedding)::int AS dimension, round(embedding[1]::double, 3) + 0.0::double AS first FROM embeddings WHERE vec_id % 7 NOT IN (1, 2, 3)""",
     "contract_faults": """SELECT o_orderkey AS id, ['no object', 'no object', 'missing: tags', 'missing: name, tags', 'type: name', 'type: tags', 'type: count', NULL, NULL][o_orderkey % 9 + 1] AS fault FROM orders""",
     "scene_keyframes": """WITH r AS (SELECT event_id, user_id AS video_id, floor(value)::bigint AS at_ms, event_type, value - floor(value) < 0.75::double AS fine FROM events),
