@@ -19,6 +19,18 @@ def recall_and_rank(judgements: DataFrame, k: int) -> DataFrame:
     return each.groupBy("modality").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("rank").alias("reciprocal_rank"))
 
 
+def recall_by_counts(returned: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """``query, expected, recall, reciprocal_rank`` without lists, so that a query may expect any number of items.
+
+    ``returned(query, id, place)`` with places from 1, ``expected(query, id)``. Recall counts the first k returned; the rank
+    is that of the first expected item returned, 0 if none is. Queries that expect nothing are left out.
+    """
+    asked = expected.select("query", "id").distinct()
+    both = asked.join(returned.groupBy("query", "id").agg(F.min("place").alias("place")), ["query", "id"], "left")
+    g = both.groupBy("query").agg(F.count("*").alias("expected"), F.count_if(F.col("place") <= k).alias("hits"), F.min("place").alias("first"))
+    return g.select("query", "expected", (F.col("hits") / F.col("expected")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
 def best_adapter(scores: DataFrame) -> DataFrame:
     """Per metric the adapter with the highest mean over its cases' means; ties by name."""
     cases = scores.groupBy("metric", "adapter", "case").agg(F.avg("value").alias("v"))

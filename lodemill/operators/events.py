@@ -96,3 +96,15 @@ def lease_conflicts(leases: DataFrame, wanted: DataFrame, now) -> DataFrame:
     both = asked.join(active, "path").where(F.col("request_id") != F.col("lease_id"))
     # The paths of one request that one lease holds: at most the request's own.
     return both.groupBy("request_id", "lease_id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+
+
+def observer_actions(events: DataFrame) -> DataFrame:
+    """``workspace_id, sequence, action`` of each event ``(workspace_id, sequence, kind, resource_id)``, each once.
+
+    A jump in the sequence, an uncertain move or a relocation asks for a ``full_scan``; a change of a resource is
+    ``external`` or ``governed`` by its kind; other events ask for ``none``. Jumps are found in blocks, see :func:`gaps`.
+    """
+    jumps = gaps(events).select("workspace_id", F.col("current").alias("sequence"), F.lit(True).alias("jump"))
+    rows = events.select("workspace_id", "sequence", "kind", "resource_id").join(jumps, ["workspace_id", "sequence"], "left")
+    action = F.when(F.col("jump") | F.col("kind").isin("resource_ambiguous", "workspace_relocated"), "full_scan").when(F.col("resource_id").isNull(), "none").when(F.col("kind") == "external_change", "external").otherwise("governed")
+    return rows.select("workspace_id", "sequence", action.alias("action"))

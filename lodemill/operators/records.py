@@ -67,3 +67,15 @@ def unreferenced_blobs(representations: DataFrame) -> DataFrame:
     """Blobs that no current representation uses."""
     used = representations.where("is_current").select(F.col("blob_hash").alias("hash"))
     return blob_rows(representations).join(used, "hash", "left_anti")
+
+
+def stable(looks: DataFrame) -> DataFrame:
+    """``id, stable, content_hash`` of files looked at more than once: ``looks(id, seen_at, size_bytes, mtime, content_hash)``.
+
+    A file is stable if size and change time were the same at every look; only then its hash, that of the last look, counts.
+    Equal rows are one look.
+    """
+    once = looks.distinct()
+    same = lambda c: F.count_distinct(F.coalesce(F.col(c), F.lit(-1))) == 1
+    g = once.groupBy("id").agg(F.count("*").alias("looks"), (same("size_bytes") & same("mtime")).alias("stable"), F.max(F.struct("seen_at", "content_hash")).alias("last"))
+    return g.where(F.col("looks") > 1).select("id", "stable", F.when(F.col("stable"), F.col("last.content_hash")).alias("content_hash"))

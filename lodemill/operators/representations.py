@@ -73,3 +73,73 @@ def broken_invariants(rows: DataFrame) -> DataFrame:
     """``rule, rows``: how many distinct rows break each invariant, in one pass."""
     counts = rows.agg(*[F.countDistinct(F.when(rule, F.col("id"))).alias(name) for name, rule in violations().items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in violations()])).alias("x")).select("x.rule", "x.rows")
+
+
+# What a status may become. Failures and absences may be told of any.
+TRANSITIONS = {"current": ("pending",), "partial": ("pending",)}
+
+
+def transitioned(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """``id, status, verdict`` of ``changes(id, new_status)``: a pending row may become current or partial, any row failed or unavailable.
+
+    Other changes are ``refused`` and leave the status, an unknown id is ``missing``. A failure or absence takes the row's
+    payload from view, which is its readers' business: see :func:`visible`. Of several changes of a row the least holds.
+    """
+    asked = changes.groupBy("id").agg(F.min("new_status").alias("new_status"))
+    both = asked.join(rows.select("id", "status"), "id", "left")
+    allowed = F.col("new_status").isin("failed", "unavailable")
+    for new, old in TRANSITIONS.items():
+        allowed = allowed | ((F.col("new_status") == new) & F.col("status").isin(*old))
+    verdict = F.when(F.col("status").isNull(), "missing").when(allowed, "changed").otherwise("refused")
+    return both.select("id", F.when(verdict == "changed", F.col("new_status")).otherwise(F.col("status")).alias("status"), verdict.alias("verdict"))
+
+
+def on_deletion(rows: DataFrame, deleted: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows after versions are deleted: theirs are current no more, or gone if history is not kept."""
+    gone = deleted.select("resource_version_id").distinct()
+    if not keep:
+        return rows.join(gone, "resource_version_id", "left_anti")
+    marked = rows.join(gone.withColumn("gone", F.lit(True)), "resource_version_id", "left")
+    return marked.withColumn("is_current", F.col("is_current") & F.col("gone").isNull()).drop("gone")
+
+
+def cloned(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows bound to another resource version: for what :func:`cache_probe` found elsewhere, the same content under a new id.
+
+    The id is a hash of version, kind and the row reused, so a second run makes the same row. ``rows`` has one row per id.
+    """
+    elsewhere = found.where(~F.col("exact")).select(F.col("resource_version_id").alias("bound_to"), F.col("id").alias("reused"))
+    source = rows.withColumnRenamed("id", "reused")
+    both = elsewhere.join(source, "reused").where(F.col("bound_to") != F.col("resource_version_id"))
+    new_id = F.sha2(F.concat_ws("|", "bound_to", "kind", "reused"), 256)
+    return both.withColumns({"id": new_id, "resource_version_id": F.col("bound_to")}).drop("bound_to")
+
+
+def coverage_reasons(stages: DataFrame) -> DataFrame:
+    """``resource_version_id, complete, fraction, reason`` of ``stages(resource_version_id, stage, status, whole)``.
+
+    A stage is done by success, or by a cache hit that was whole. What is not done is named by status and stage in order
+    of the stages' names.
+    """
+    done = (F.col("status") == "success") | ((F.col("status") == "cache_hit") & F.col("whole"))
+    names = {s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("stage")))) for s in ("failed", "cancelled", "partial")}
+    g = stages.groupBy("resource_version_id").agg(F.count("*").alias("n"), F.count_if(done).alias("done"), *[c.alias(s) for s, c in names.items()])
+    told = F.concat_ws("; ", *[F.when(F.size(s) > 0, F.concat(F.lit(f"{s}: "), F.array_join(s, ", "))) for s in names])
+    whole = F.col("done") == F.col("n")
+    return g.select("resource_version_id", whole.alias("complete"), F.when(whole, 1.0).otherwise(F.bround(F.col("done") / F.col("n"), 4)).alias("fraction"), F.when(whole, "all stages complete").when(told == "", "incomplete").otherwise(told).alias("reason"))
+
+
+def enrichments_put(cache: DataFrame, results: DataFrame) -> DataFrame:
+    """The cache with results put, errors as well: the last by ``at`` of each content and fingerprint holds.
+
+    Both have ``content_hash, fingerprint, status, extraction, error, at``.
+    """
+    both = cache.unionByName(results).where(F.col("content_hash").isNotNull() & F.col("fingerprint").isNotNull())
+    last = both.groupBy("content_hash", "fingerprint").agg(F.max(F.struct("at", "status", "extraction", "error")).alias("r"))
+    return last.select("content_hash", "fingerprint", "r.status", "r.extraction", "r.error", "r.at")
+
+
+def enrichment_probe(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """``asked`` with ``extraction`` and ``hit``; an error on record is no hit."""
+    good = cache.where(F.col("status") == "success").select("content_hash", "fingerprint", "extraction", F.lit(True).alias("hit"))
+    return asked.join(good, ["content_hash", "fingerprint"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -86,7 +86,7 @@ def chunk_previews(spark, sf_dir) -> DataFrame:
 
 def document_redactions(spark, sf_dir) -> DataFrame:
     """Source names stand for secrets behind a key word, so that every document has one."""
-    text = F.concat(F.lit("api_key: "), F.lower(F.trim("source")), F.lit(" | "), F.substring(F.col("text"), 1, 10_000_000))
+    text = F.concat(F.lit("api_key: "), F.lower(F.trim("source")), F.lit(" | "), "text")
     d = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & F.col("text").isNotNull())
     return d.select("doc_id", F.length(t.redact_secrets(text)).alias("chars"), F.contains(t.redact_secrets(text), F.lit(t.REDACTED)).alias("redacted"))
 
@@ -155,14 +155,14 @@ def blob_unreferenced(spark, sf_dir) -> DataFrame:
 
 
 def retrieval_quality(spark, sf_dir) -> DataFrame:
-    """Resources on record by their last event against those that are current in the feed, by workspace."""
-    latest = table(spark, sf_dir, "resources").where(F.col("id").isNotNull()).groupBy("workspace_id", "id").agg(F.max("last_sequence").alias("s"))
-    ranked = latest.withColumn("n", F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("s"), "id"))).where(F.col("n") <= 20)
-    returned = ranked.groupBy("workspace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("returned"))
+    """The twenty resources of each workspace recorded last, as what a search returns, against all that are current in the feed."""
+    rows = table(spark, sf_dir, "resources").where(F.col("id").isNotNull())
+    latest = rows.groupBy("workspace_id", "id").agg(F.max("last_sequence").alias("s"))
+    returned = latest.withColumn("place", F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("s"), "id"))).where(F.col("place") <= 20)
+    known = rows.select("workspace_id", "id").unionByName(table(spark, sf_dir, "workspace_events").select("workspace_id", F.col("resource_id").alias("id"))).where(F.col("id").isNotNull() & F.col("workspace_id").isNotNull()).distinct()
     current = changefeed.p5_found(spark, sf_dir).select(F.col("resource_id").alias("id"))
-    expected = ranked.join(current, "id", "left_semi").groupBy("workspace_id").agg(F.collect_set("id").alias("expected"))
-    q = evaluation.recall_and_rank(returned.join(expected, "workspace_id").withColumnRenamed("workspace_id", "modality"), 5)
-    return q.select("modality", "queries", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    q = evaluation.recall_by_counts(returned.select(F.col("workspace_id").alias("query"), "id", "place"), known.join(current, "id", "left_semi").select(F.col("workspace_id").alias("query"), "id"), 5)
+    return q.select(F.col("query").alias("workspace_id"), "expected", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 def best_adapters(spark, sf_dir) -> DataFrame:
@@ -214,7 +214,8 @@ UNION ALL SELECT 'updated_before_created', count(DISTINCT id) FILTER (updated_at
     "blob_unreferenced": "SELECT blob_hash AS hash, max(blob_byte_count) AS byte_count FROM representations WHERE blob_hash IS NOT NULL GROUP BY 1 HAVING NOT coalesce(bool_or(is_current), false)",
     "retrieval_quality": f"""WITH l AS (SELECT workspace_id, id, max(last_sequence) AS s FROM resources WHERE id IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY s DESC, id) AS n FROM l QUALIFY n <= 20),
-j AS (SELECT r.*, id IN (SELECT resource_id FROM ({changefeed.SQL["p5_found"]})) AS ok FROM r)
-SELECT workspace_id AS modality, count(DISTINCT workspace_id) AS queries, round(count(*) FILTER (ok AND n <= 5)::double / count(*) FILTER (ok), 6) AS recall, round(1.0::double / min(n) FILTER (ok), 6) AS reciprocal_rank FROM j GROUP BY 1 HAVING count(*) FILTER (ok) > 0""",
+k AS (SELECT workspace_id, id FROM resources UNION SELECT workspace_id, resource_id FROM workspace_events),
+e AS (SELECT k.* FROM k WHERE workspace_id IS NOT NULL AND id IN (SELECT resource_id FROM ({changefeed.SQL["p5_found"]})))
+SELECT e.workspace_id, count(*) AS expected, round(count(r.n) FILTER (n <= 5)::double / count(*), 6) AS recall, round(coalesce(1.0::double / min(n), 0), 6) AS reciprocal_rank FROM e LEFT JOIN r ON r.workspace_id = e.workspace_id AND r.id = e.id GROUP BY 1""",
     "best_adapters": "WITH c AS (SELECT kind, adapter_name, resource_version_id, avg(confidence) AS v FROM representations WHERE confidence IS NOT NULL AND adapter_name IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT kind, adapter_name, avg(v) AS mean FROM c GROUP BY 1, 2) SELECT kind AS metric, arg_max(adapter_name, mean) AS adapter, round(max(mean), 6) AS mean FROM m GROUP BY 1",
 }
