@@ -14,24 +14,27 @@ _HOP = ["file_id", "peer", "via", "name", "weight"]
 VIA_ORDER = ("references", "mentioned-entity", "shared-topic", "duplicate")
 
 
-def _shared(frontier: DataFrame, edges: DataFrame, key: str, via: str, least_weight: float | None) -> DataFrame:
-    """Peers by a shared connector. The frontier is joined before the edges meet themselves, so only its connectors expand."""
-    mine = edges.join(frontier.select("file_id"), "file_id").select("file_id", key, F.col("weight").alias("w"))
-    both = mine.join(edges.select(F.col("file_id").alias("peer"), key, F.col("weight").alias("v")), key).where(F.col("peer") != F.col("file_id"))
-    hop = both.select("file_id", "peer", F.lit(via).alias("via"), F.col(key).alias("name"), F.least("w", "v").alias("weight"))
-    return hop if least_weight is None else hop.where(F.col("weight") >= least_weight)
+def connectors(mentions: DataFrame, about: DataFrame) -> DataFrame:
+    """``file_id, via, name, weight`` of edges to entities and topics."""
+    of = lambda rows, column, via: rows.select("file_id", F.lit(via).alias("via"), F.col(column).alias("name"), "weight")
+    return of(mentions, "entity", "mentioned-entity").unionByName(of(about, "topic", "shared-topic"))
 
 
-def neighbours(frontier: DataFrame, references: DataFrame, mentions: DataFrame, about: DataFrame, duplicates: DataFrame, least_weight: float | None = None) -> DataFrame:
+def neighbours(frontier: DataFrame, references: DataFrame, connected: DataFrame, duplicates: DataFrame, least_weight: float | None = None, mine: DataFrame | None = None) -> DataFrame:
     """``file_id, peer, via, name, weight``: all edges of one hop from the frontier's files, repeated ones kept.
 
-    ``frontier(file_id)`` has each file once. References and duplicates have no weight gate.
+    ``frontier(file_id)`` has each file once; ``connected`` is as :func:`connectors` gives it. Files that share a connector
+    are peers; the frontier is joined before the edges meet themselves, so only its connectors expand, and ``mine`` spares
+    that join where they are at hand. References and duplicates have no weight gate.
     """
     cited = references.join(frontier.select(F.col("file_id").alias("src")), "src").where(F.col("src") != F.col("dst")).select(F.col("src").alias("file_id"), F.col("dst").alias("peer"), F.lit("references").alias("via"), F.lit(None).cast("string").alias("name"), F.lit(1.0).alias("weight"))
     copies = duplicates.join(frontier.select(F.col("file_id").alias("src")), "src").where(F.col("src") != F.col("dst")).select(F.col("src").alias("file_id"), F.col("dst").alias("peer"), F.lit("duplicate").alias("via"), F.lit(None).cast("string").alias("name"), F.col("similarity").alias("weight"))
-    entities = _shared(frontier, mentions, "entity", "mentioned-entity", least_weight)
-    topics = _shared(frontier, about, "topic", "shared-topic", least_weight)
-    return cited.select(*_HOP).unionByName(entities).unionByName(topics).unionByName(copies.select(*_HOP))
+    mine = (connected.join(frontier.select("file_id"), "file_id") if mine is None else mine).select("file_id", "via", "name", F.col("weight").alias("w"))
+    both = mine.join(connected.select(F.col("file_id").alias("peer"), "via", "name", F.col("weight").alias("v")), ["via", "name"]).where(F.col("peer") != F.col("file_id"))
+    shared = both.select("file_id", "peer", "via", "name", F.least("w", "v").alias("weight"))
+    if least_weight is not None:
+        shared = shared.where(F.col("weight") >= least_weight)
+    return cited.select(*_HOP).unionByName(shared.select(*_HOP)).unionByName(copies.select(*_HOP))
 
 
 def related(hops: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -56,13 +59,12 @@ def resolve_references(intents: DataFrame, files: DataFrame) -> DataFrame:
     name is its base name. The search for tails is an equi-join on the tails of all paths.
     """
     asked = intents.where(F.col("reference").isNotNull() & (F.trim("reference") != "")).select("source_id", F.trim("reference").alias("reference")).distinct()
-    distinct = asked.select("reference").distinct()
-    # Reference keys are distinct, so a file cited by all cannot make a busy key here.
-    tails = path_suffixes(files).join(distinct.select(F.col("reference").alias("suffix")), "suffix").groupBy("suffix").agg(F.count("*").alias("n"), F.min("file_id").alias("hit"))
-    names = files.where(F.col("path").isNotNull()).groupBy(base_name(F.col("path")).alias("name")).agg(F.count("*").alias("n"), F.min("file_id").alias("hit"))
-    exact = distinct.join(tails.withColumnRenamed("suffix", "reference"), "reference", "left").select("reference", "n", "hit", base_name(F.col("reference")).alias("name"))
-    named = exact.join(names.select("name", F.col("n").alias("m"), F.col("hit").alias("named")), "name", "left")
-    found = named.select("reference", F.when(F.col("n") == 1, F.col("hit")).when(F.col("m") == 1, F.col("named")).alias("file_id")).where(F.col("file_id").isNotNull())
+    # A base name is a tail without a slash, so one pass over the tails of all paths answers both questions.
+    keys = asked.select("reference").distinct().select("reference", F.explode(F.array(F.struct(F.lit(0).alias("named"), F.col("reference").alias("suffix")), F.struct(F.lit(1).alias("named"), base_name(F.col("reference")).alias("suffix")))).alias("k")).select("reference", "k.*")
+    # Keys are distinct, so a file cited by all cannot make a busy key here.
+    tails = path_suffixes(files).join(keys.select("suffix").distinct(), "suffix").groupBy("suffix").agg(F.count("*").alias("n"), F.min("file_id").alias("hit"))
+    only = lambda named: F.max(F.when((F.col("named") == named) & (F.col("n") == 1), F.col("hit")))
+    found = keys.join(tails, "suffix").groupBy("reference").agg(F.coalesce(only(0), only(1)).alias("file_id")).where(F.col("file_id").isNotNull())
     return asked.join(found, "reference").select("source_id", "reference", "file_id")
 
 

@@ -46,6 +46,9 @@ def connector_evidence(hops: DataFrame) -> DataFrame:
         F.count_if(of("shared-topic")).alias("topics"),
         F.count_if(of("references")).alias("citations"),
         F.max(F.when(of("duplicate"), F.col("weight"))).alias("duplicate_similarity"),
+        # A peer has no more connectors than edges of its own.
+        F.slice(F.array_sort(F.collect_set(F.when(of("mentioned-entity"), F.col("name")))), 1, 3).alias("entity_names"),
+        F.slice(F.array_sort(F.collect_set(F.when(of("shared-topic"), F.col("name")))), 1, 3).alias("topic_names"),
     )
 
 
@@ -83,11 +86,11 @@ def why(evidence: Column) -> Column:
 
 
 def receipts(scored: DataFrame) -> DataFrame:
-    """Adds ``evidence`` (kind, contribution, ordinal, detail) and the line ``why``."""
+    """Adds ``evidence`` (kind, contribution, ordinal, detail) and the line ``why``; of connectors the first three by name are told."""
     detail = {
         "vector": F.format_string("vector similarity %.2f", "similarity"),
-        "entity": F.format_string("shares %d entities", "entities"),
-        "topic": F.format_string("shares %d topics", "topics"),
+        "entity": F.format_string("shares %d entities: %s", "entities", F.array_join("entity_names", ", ")),
+        "topic": F.format_string("shares %d topics: %s", "topics", F.array_join("topic_names", ", ")),
         "reference": F.lit("references top hit"),
         "duplicate": F.format_string("near-duplicate of top hit (%.2f)", "duplicate_similarity"),
     }
@@ -102,10 +105,12 @@ def receipts(scored: DataFrame) -> DataFrame:
 def candidates(hits: DataFrame, files: DataFrame, edges: dict[str, DataFrame]) -> DataFrame:
     """Files found by vector or by an edge from those, with what was found; files without a record are dropped.
 
-    ``hits`` are a bounded number of rows (the k of the search), so the frontier is broadcast.
+    ``hits`` are a bounded number of rows (the k of the search), so the frontier is broadcast. ``edges`` holds references,
+    duplicates and connectors (or mentions and about), and the frontier's own connectors as ``mine`` if they are at hand.
     """
     frontier = F.broadcast(vectors.best_per_file(hits))
-    hops = graph.neighbours(frontier, edges["references"], edges["mentions"], edges["about"], edges["duplicates"], edges.get("least_weight"))
+    connected = edges["connectors"] if "connectors" in edges else graph.connectors(edges["mentions"], edges["about"])
+    hops = graph.neighbours(frontier, edges["references"], connected, edges["duplicates"], mine=edges.get("mine"))
     found = connector_evidence(hops).withColumnRenamed("peer", "file_id")
     both = found.join(frontier, "file_id", "full_outer")
     return both.join(files.select("file_id", "path", "summary"), "file_id").where(F.col("path").isNotNull())
@@ -116,9 +121,12 @@ def search(query: list[float] | None, chunks: DataFrame, files: DataFrame, edges
 
     No query gives no rows.
     """
-    hits = vectors.top_chunks(chunks, query or [0.0], top_chunks if query else 0)
-    scored = contributions(candidates(hits, files, edges), weights)
-    return scored.orderBy(*rank_key()).limit(top_files)
+    return ranked(vectors.top_chunks(chunks, query or [0.0], top_chunks if query else 0), files, edges, top_files, weights)
+
+
+def ranked(hits: DataFrame, files: DataFrame, edges: dict[str, DataFrame], top_files: int = 8, weights: Weights = Weights()) -> DataFrame:
+    """:func:`search` from hits at hand."""
+    return contributions(candidates(hits, files, edges), weights).orderBy(*rank_key()).limit(top_files)
 
 
 def context(ranked: DataFrame, hits: DataFrame, texts: DataFrame, max_tokens: int, per_file: int = 200) -> DataFrame:

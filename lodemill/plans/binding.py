@@ -15,39 +15,56 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_files(table(spark, sf_dir, "files"), ["name", "summary"]).withColumnRenamed("id", "file_id")
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second and third folder of a path are entities of a file, weighted by its size."""
-    f = files(spark, sf_dir)
+def connectors(rows: DataFrame) -> DataFrame:
+    """``file_id, via, name, weight`` of rows of :func:`files`, in one pass.
+
+    The second and third folder of a path are entities of a file, weighted by its size; its extension and year are topics.
+    """
     weight = F.least(F.lit(1.0), F.coalesce(F.col("size_bytes"), F.lit(0)) / 4_000_000)
-    return f.select("file_id", F.explode(F.slice(F.split("path", "/"), 3, 2)).alias("entity"), weight.alias("weight")).dropDuplicates(["file_id", "entity"])
+    topics = F.array_distinct(F.array(extension(F.col("path")), F.coalesce(F.year("last_indexed_at").cast("string"), F.lit("never"))))
+    of = lambda names, via, w: F.transform(names, lambda x: F.struct(F.lit(via).alias("via"), x.alias("name"), w.alias("weight")))
+    entities = F.array_distinct(F.coalesce(F.slice(F.split("path", "/"), 3, 2), F.array().cast("array<string>")))
+    return rows.select("file_id", F.explode(F.concat(of(entities, "mentioned-entity", weight), of(topics, "shared-topic", F.lit(1.0)))).alias("c")).select("file_id", "c.*")
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connectors(files(spark, sf_dir)).where(F.col("via") == "mentioned-entity").select("file_id", F.col("name").alias("entity"), "weight")
 
 
 def about(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extension and the year of a file are its topics."""
-    f = files(spark, sf_dir)
-    topics = F.array(extension(F.col("path")), F.coalesce(F.year("last_indexed_at").cast("string"), F.lit("never")))
-    return f.select("file_id", F.explode(F.array_distinct(topics)).alias("topic"), F.lit(1.0).alias("weight"))
+    return connectors(files(spark, sf_dir)).where(F.col("via") == "shared-topic").select("file_id", F.col("name").alias("topic"), "weight")
 
 
-def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def duplicates(spark: SparkSession, sf_dir: str, among: list[str] | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "duplicates").where((F.col("src") != F.col("dst")) & F.col("similarity").between(0.0, 1.0))
+    rows = rows if among is None else rows.where(F.col("src").isin(*among))
     return rows.groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
 
 
-def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file refers to the name of each of its duplicates, and to the tail of its own path behind the first folder."""
+def intents(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, among: list[str] | None = None) -> DataFrame:
+    """A file refers to the name of each of its duplicates, and to the tail of its own path behind the first folder.
+
+    ``own``: the rows of the files that are asked about, ``among`` their ids.
+    """
     f = files(spark, sf_dir)
-    named = duplicates(spark, sf_dir).join(f.select(F.col("file_id").alias("dst"), F.col("name").alias("reference")), "dst").select(F.col("src").alias("source_id"), "reference")
-    own = f.select(F.col("file_id").alias("source_id"), F.array_join(F.slice(F.split("path", "/"), 3, 99), "/").alias("reference"))
+    named = duplicates(spark, sf_dir, among).join(f.select(F.col("file_id").alias("dst"), F.col("name").alias("reference")), "dst").select(F.col("src").alias("source_id"), "reference")
+    own = (f if own is None else own).select(F.col("file_id").alias("source_id"), F.array_join(F.slice(F.split("path", "/"), 3, 99), "/").alias("reference"))
     return named.unionByName(own)
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_edges(resolve_references(intents(spark, sf_dir), files(spark, sf_dir)))
+def references(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, among: list[str] | None = None) -> DataFrame:
+    return reference_edges(resolve_references(intents(spark, sf_dir, own, among), files(spark, sf_dir)))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"references": references(spark, sf_dir), "mentions": mentions(spark, sf_dir), "about": about(spark, sf_dir), "duplicates": duplicates(spark, sf_dir)}
+    return {"references": references(spark, sf_dir), "connectors": connectors(files(spark, sf_dir)), "duplicates": duplicates(spark, sf_dir)}
+
+
+def edges_of(spark: SparkSession, sf_dir: str, among: list[str]) -> dict[str, DataFrame]:
+    """The edges of a few files: their own rows are read first, so that only their references are resolved."""
+    few = files(spark, sf_dir).where(F.col("file_id").isin(*among))
+    own = spark.createDataFrame(few.collect(), few.schema)
+    return {"references": references(spark, sf_dir, own, among), "connectors": connectors(files(spark, sf_dir)), "duplicates": duplicates(spark, sf_dir, among), "mine": connectors(own)}
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:

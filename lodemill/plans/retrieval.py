@@ -12,13 +12,20 @@ from lodemill.session import table
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_chunks(table(spark, sf_dir, "chunks"), binding.query_vector(spark, sf_dir), 16)
+    """The sixteen hits, fetched once: every later step starts from these few rows."""
+    found = vectors.top_chunks(table(spark, sf_dir, "chunks"), binding.query_vector(spark, sf_dir), 16)
+    return spark.createDataFrame(found.collect(), found.schema)
 
 
-def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = binding.edges(spark, sf_dir)
-    frontier = F.broadcast(vectors.best_per_file(_hits(spark, sf_dir)))
-    return graph.neighbours(frontier, e["references"], e["mentions"], e["about"], e["duplicates"])
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The hits, and the edges of their files."""
+    hits = _hits(spark, sf_dir)
+    return hits, binding.edges_of(spark, sf_dir, sorted({r.file_id for r in hits.collect() if r.file_id is not None}))
+
+
+def _hops(spark: SparkSession, sf_dir: str, least_weight: float | None = None) -> DataFrame:
+    hits, e = _found(spark, sf_dir)
+    return graph.neighbours(F.broadcast(vectors.best_per_file(hits)), e["references"], e["connectors"], e["duplicates"], least_weight, e["mine"])
 
 
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +59,7 @@ def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gated_entity_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = binding.edges(spark, sf_dir)
-    frontier = F.broadcast(vectors.best_per_file(_hits(spark, sf_dir)))
-    hops = graph.neighbours(frontier, e["references"], e["mentions"], e["about"], e["duplicates"], least_weight=0.35)
+    hops = _hops(spark, sf_dir, least_weight=0.35)
     return hops.groupBy("via").agg(F.count("*").alias("edges"), F.countDistinct("peer").alias("peers"))
 
 
@@ -96,7 +101,8 @@ def connector_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
-    return retrieval.search(binding.query_vector(spark, sf_dir), table(spark, sf_dir, "chunks"), binding.files(spark, sf_dir), binding.edges(spark, sf_dir), top_files=top)
+    hits, edges = _found(spark, sf_dir)
+    return retrieval.ranked(hits, binding.files(spark, sf_dir), edges, top_files=top)
 
 
 def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +111,8 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates with their contributions."""
-    found = retrieval.candidates(_hits(spark, sf_dir), binding.files(spark, sf_dir), binding.edges(spark, sf_dir))
+    hits, edges = _found(spark, sf_dir)
+    found = retrieval.candidates(hits, binding.files(spark, sf_dir), edges)
     scored = retrieval.contributions(found, retrieval.Weights())
     return scored.select("file_id", *[F.round(c, 6).alias(c) for c in ("c_vector", "c_entity", "c_topic", "c_reference", "c_duplicate", "score")], "evidence_count")
 
@@ -115,14 +122,16 @@ def search_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _search(spark, sf_dir)
-    return retrieval.context(ranked, _hits(spark, sf_dir), table(spark, sf_dir, "chunks"), 2200)
+    hits, edges = _found(spark, sf_dir)
+    ranked = retrieval.ranked(hits, binding.files(spark, sf_dir), edges)
+    return retrieval.context(ranked, hits, table(spark, sf_dir, "chunks").where(F.col("id").isin(*[r.chunk_id for r in hits.collect()])), 2200)
 
 
 def context_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _search(spark, sf_dir)
-    e = binding.edges(spark, sf_dir)
-    hops = graph.neighbours(F.broadcast(ranked.select("file_id")), e["references"], e["mentions"], e["about"], e["duplicates"])
+    found = _search(spark, sf_dir).select("file_id", "path")
+    ranked = spark.createDataFrame(found.collect(), found.schema)  # the eight files of the search
+    e = binding.edges_of(spark, sf_dir, [r.file_id for r in ranked.collect()])
+    hops = graph.neighbours(F.broadcast(ranked.select("file_id")), e["references"], e["connectors"], e["duplicates"], mine=e["mine"])
     return retrieval.sketch_lines(hops, ranked)
 
 
@@ -171,6 +180,21 @@ SELECT file_id, round(sqrt(sum(m * m)), 6) AS norm, round(max(m) FILTER (i = 1),
     "connector_evidence": f"{_BASE} SELECT file_id AS peer, round(entity_weight, 6) AS entity_weight, entities, round(topic_weight, 6) AS topic_weight, topics, citations, round(duplicate_similarity, 6) AS duplicate_similarity FROM found",
     "search_files": f"{_BASE} SELECT file_id, path, round(score, 6) AS score, evidence_count FROM ranked ORDER BY {RANK} LIMIT 8",
     "search_candidates": f"{_BASE} SELECT file_id, round(c_vector, 6) AS c_vector, round(c_entity, 6) AS c_entity, round(c_topic, 6) AS c_topic, c_reference::double AS c_reference, c_duplicate::double AS c_duplicate, round(score, 6) AS score, evidence_count FROM ranked",
+    "search_receipts": f"""{_BASE}, top AS (SELECT * FROM ranked ORDER BY {RANK} LIMIT 8),
+names AS (SELECT peer AS file_id, via, list_sort(list(DISTINCT name))[1:3] AS three FROM hops WHERE name IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT file_id, c_vector AS c, 0 AS o, printf('vector similarity %.2f', similarity) AS detail FROM top WHERE c_vector IS NOT NULL
+  UNION ALL SELECT file_id, c_entity, 1, 'shares ' || entities || ' entities: ' || array_to_string(three, ', ') FROM top JOIN names USING (file_id) WHERE c_entity IS NOT NULL AND via = 'mentioned-entity'
+  UNION ALL SELECT file_id, c_topic, 2, 'shares ' || topics || ' topics: ' || array_to_string(three, ', ') FROM top JOIN names USING (file_id) WHERE c_topic IS NOT NULL AND via = 'shared-topic'
+  UNION ALL SELECT file_id, c_reference, 3, 'references top hit' FROM top WHERE c_reference IS NOT NULL
+  UNION ALL SELECT file_id, c_duplicate, 4, printf('near-duplicate of top hit (%.2f)', duplicate_similarity) FROM top WHERE c_duplicate IS NOT NULL)
+SELECT file_id, string_agg(detail, ' + ' ORDER BY c DESC, o) AS why, count(*)::int AS signals FROM e GROUP BY 1""",
+    "context_sketch": f"""{_BASE}, top AS (SELECT file_id, path FROM ranked ORDER BY {RANK} LIMIT 8),
+h AS (SELECT src AS file_id, dst AS peer, 'REFERENCES-> ' AS via, NULL::varchar AS name FROM refs
+  UNION ALL SELECT a.file_id, b.file_id, 'MENTIONS-> ', a.entity FROM mentions a JOIN mentions b ON a.entity = b.entity AND b.file_id <> a.file_id
+  UNION ALL SELECT a.file_id, b.file_id, 'TOPIC-> ', a.topic FROM about a JOIN about b ON a.topic = b.topic AND b.file_id <> a.file_id
+  UNION ALL SELECT src, dst, 'DUPLICATE_OF-> ', NULL FROM dups),
+l AS (SELECT t.file_id, t.path, via || coalesce(name, string_split(p.path, '/')[-1]) AS edge FROM h JOIN top t USING (file_id) JOIN top p ON p.file_id = h.peer)
+SELECT file_id, count(*) AS edges, string_split(any_value(path), '/')[-1] || ' -- ' || string_agg(edge, '; ' ORDER BY edge) AS line FROM l GROUP BY 1""",
     "build_context": f"""{_BASE}, top AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS position FROM ranked QUALIFY position <= 8),
 near AS (SELECT file_id, chunk_id FROM hits QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY distance, chunk_id) = 1),
 cost AS (SELECT file_id, chunk_id, max(greatest(1, length(coalesce(text, '')) // 4)) AS cost FROM near JOIN chunks USING (file_id) WHERE id = chunk_id GROUP BY 1, 2)

@@ -133,7 +133,7 @@ def graph_after_extraction(spark, sf_dir) -> DataFrame:
 
 def graph_rebuilt(spark, sf_dir) -> DataFrame:
     e = binding.edges(spark, sf_dir)
-    return projection.rebuilt(binding.files(spark, sf_dir), e["mentions"], e["about"], e["references"], e["duplicates"])
+    return projection.rebuilt(binding.files(spark, sf_dir), binding.mentions(spark, sf_dir), binding.about(spark, sf_dir), e["references"], e["duplicates"])
 
 
 def path_faults(spark, sf_dir) -> DataFrame:

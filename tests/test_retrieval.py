@@ -38,7 +38,7 @@ def test_peers_and_fusion(spark, files):
     edges = tables(spark, mentions=[("f1", "Acme", 1.0), ("f2", "Acme", 1.0)])
     out = {r.file_id: r for r in retrieval.receipts(retrieval.search([0.5] * 8, chunks(spark, [("f1", [0.5] * 8)]), files, edges)).collect()}
     assert out["f1"].score == 0.5 and out["f2"].score == pytest.approx(0.12)
-    assert out["f2"].why == "shares 1 entities" and out["f1"].why == "vector similarity 1.00"
+    assert out["f2"].why == "shares 1 entities: Acme" and out["f1"].why == "vector similarity 1.00"
 
 
 def test_no_query_no_rows(spark, files):
@@ -78,11 +78,11 @@ def test_weight_gate(spark):
     frontier = spark.createDataFrame([("f1",)], "file_id string")
 
     def hops(gate):
-        return {(r.peer, r.via, r.weight) for r in graph.neighbours(frontier, edges["references"], edges["mentions"], edges["about"], edges["duplicates"], gate).collect()}
+        return {(r.peer, r.via, r.weight) for r in graph.neighbours(frontier, edges["references"], graph.connectors(edges["mentions"], edges["about"]), edges["duplicates"], gate).collect()}
 
     assert hops(None) == {("f2", "mentioned-entity", 0.6), ("f3", "mentioned-entity", 0.2), ("f3", "references", 1.0), ("f2", "duplicate", 0.1)}
     assert hops(0.35) == {("f2", "mentioned-entity", 0.6), ("f3", "references", 1.0), ("f2", "duplicate", 0.1)}
-    first = graph.related(graph.neighbours(frontier, edges["references"], edges["mentions"], edges["about"], edges["duplicates"]))
+    first = graph.related(graph.neighbours(frontier, edges["references"], graph.connectors(edges["mentions"], edges["about"]), edges["duplicates"]))
     assert {(r.peer, r.via) for r in first.collect()} == {("f2", "mentioned-entity"), ("f3", "references")}
 
 
