@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,29 +41,67 @@ def omitted_by_section(fitted: DataFrame, group: str) -> DataFrame:
     return fitted.where(~F.col("included")).groupBy(group, "section").agg(F.count("*").alias("omitted"))
 
 
-def pack_consecutive(items: DataFrame, group: str, order: str, cost: str, target: int) -> DataFrame:
+def pack_consecutive(items: DataFrame, group: str, order: str, cost: str, target: int, block_bits: int = 12) -> DataFrame:
     """``group, order, pack``: consecutive items share a pack until its costs would exceed the target; a pack has one item at least.
 
-    Where a pack begins depends on all before it, so a group is walked in order; rows stream by and none are held. Null
-    groups are a group, null costs cost nothing.
+    Where a pack begins depends on all before it, so a group is cut into blocks of ``2**block_bits`` numbers of its order (a
+    whole number): each block first tells where it would leave off for every state it may be entered in, one row a block
+    is scanned in order to find the states it is entered in, and then each block is walked. So a group with a third of
+    all rows spreads over many tasks. Null groups are a group, null costs cost nothing.
     """
-    rows = items.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("c"))
-    kinds = f"{group} {rows.schema['g'].dataType.simpleString()}, {order} {rows.schema['o'].dataType.simpleString()}, pack int"
-    sorted_rows = rows.repartition("g").sortWithinPartitions("g", "o")
+    rows = items.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("c"), F.coalesce(F.shiftright(F.col(order).cast("bigint"), block_bits), F.lit(-(1 << 40))).alias("b"))
+    kind, number = rows.schema["g"].dataType.simpleString(), rows.schema["o"].dataType.simpleString()
+    full = target + 1  # a pack whose only item is too large takes no other
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, packs = None, None, None
+        for batch in batches:
+            out = []
+            for g, b, c in zip(batch["g"].tolist(), batch["b"].tolist(), batch["c"].tolist()):
+                g = _none(g)
+                if at is None or at != (g, b):
+                    if at is not None:
+                        out.append((*at, used, packs))
+                    at, used, packs = (g, b), np.append(np.arange(full + 1), -1), np.zeros(full + 2, dtype=np.int64)
+                fits = (used + c <= target) | (used < 0)
+                packs = packs + ~fits
+                used = np.where(fits, np.minimum(np.maximum(used, 0) + c, full), min(c, full))
+            yield pd.DataFrame(out, columns=["g", "b", "used", "packs"])
+        yield pd.DataFrame([(*at, used, packs)] if at is not None else [], columns=["g", "b", "used", "packs"])
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, pack = (), 0, 0
+        for batch in batches:
+            out = []
+            for g, b, used, packs in zip(batch["g"].tolist(), batch["b"].tolist(), batch["used"], batch["packs"]):
+                if at != (_none(g),):
+                    at, state, pack = (_none(g),), full + 1, 0
+                out.append((_none(g), b, -1 if state == full + 1 else state, pack))
+                state, pack = int(used[state]), pack + int(packs[state])
+            yield pd.DataFrame(out, columns=["g", "b", "c", "pack"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used, pack = object(), 0, 0
+        used, pack = 0, 0
         for batch in batches:
-            packs = []
-            for g, c in zip(batch["g"].tolist(), batch["c"].tolist()):
-                if g != at:
-                    at, used, pack = g, c, 0
-                elif used + c > target:
-                    pack += 1
-                    used = c
-                else:
-                    used += c
-                packs.append(pack)
-            yield pd.DataFrame({group: batch["g"], order: batch["o"], "pack": packs})
-
-    return sorted_rows.mapInPandas(walk, kinds)
+            out = []
+            for g, o, c, start in zip(batch["g"].tolist(), batch["o"].tolist(), batch["c"].tolist(), batch["start"].tolist()):
+                if start >= 0:
+                    used, pack = c, start
+                    continue
+                if used >= 0 and used + c > target:
+                    used, pack = 0, pack + 1
+                used = max(used, 0) + c
+                out.append((_none(g), o, pack))
+            yield pd.DataFrame(out, columns=[group, order, "pack"])
+
+    keyed = rows.repartition("g", "b").sortWithinPartitions("g", "b", "o")
+    left = keyed.mapInPandas(leave, f"g {kind}, b bigint, used array<bigint>, packs array<bigint>")
+    entered = left.repartition("g").sortWithinPartitions("g", "b").mapInPandas(enter, f"g {kind}, b bigint, c bigint, pack bigint")
+    marks = entered.select("g", F.lit(0).cast(number).alias("o"), "c", "b", F.col("pack").alias("start"))
+    both = rows.withColumn("start", F.lit(-1).cast("bigint")).unionByName(marks)
+    ordered = both.repartition("g", "b").sortWithinPartitions("g", "b", F.desc("start"), "o")
+    return ordered.mapInPandas(walk, f"{group} {kind}, {order} {number}, pack int")
+
+
+def _none(value):
+    return None if value is None or value != value else value

@@ -34,10 +34,12 @@ def test_packing(spark):
     rng = random.Random(1)
     rows = [(f"g{i % 3}", i, rng.randrange(0, 90)) for i in range(200)] + [("one", 1, 500), ("one", 2, 1), (None, 1, None)]
     df = spark.createDataFrame(rows, "g string, o int, c int")
-    got = {}
-    for r in budget.pack_consecutive(df, "g", "o", "c", 100).collect():
-        got.setdefault(r.g, {})[r.o] = r.pack
-    for g in {r[0] for r in rows}:
+    packs = {}
+    for bits, g in [(bits, g) for bits in (12, 3, 0) for g in sorted({r[0] for r in rows}, key=str)]:
+        got = packs.setdefault(bits, {})
+        if not got:
+            for r in budget.pack_consecutive(df, "g", "o", "c", 100, bits).collect():
+                got.setdefault(r.g, {})[r.o] = r.pack
         used, pack = None, 0
         for _, o, c in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
             c = c or 0
