@@ -24,7 +24,8 @@ def changes(events: DataFrame) -> DataFrame:
     """The feed as one row per event that changes a resource.
 
     Columns ``resource_id, at(sequence, base), status, sets_path, path``. Rows with equal workspace, sequence and
-    resource are one event, whichever id they carry. Events without resource, sequence or known kind change nothing;
+    resource are one event, whichever id they carry; where such rows disagree, the last kind by name and then the last
+    path holds. Events without resource, sequence or known kind change nothing;
     an empty or missing path leaves the path.
     """
     status = F.create_map(*[F.lit(x) for kind_status in STATUS_OF_KIND.items() for x in kind_status])

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Separators from the strongest to none.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -50,14 +51,14 @@ def pieces(text: str, target: int, separators: tuple[str, ...] = SEPARATORS) ->
 
 
 def with_overlap(parts: list[str], overlap: int) -> list[str]:
-    """Each part but the first begins with the tail of the part before it that holds ``overlap`` characters that are not white space."""
+    """Each part but the first begins with the tail of the part before it that holds ``overlap`` characters that are not white space, one at least."""
     out = parts[:1]
     for before, part in zip(parts, parts[1:]):
-        left, at = overlap, len(before)
+        left, at = max(1, overlap), len(before)
         while at > 0 and left > 0:
             at -= 1
             left -= not before[at].isspace()
-        out.append((before[at:] if overlap > 0 else before[-1:] if before else "") + part)
+        out.append(before[at:] + part)
     return out
 
 

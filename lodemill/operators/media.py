@@ -259,12 +259,33 @@ def extract_text(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def alike(a: pd.Series, b: pd.Series, least: float = 0.0) -> pd.Series:
+    """The ratio of two texts, or 0 where cheap upper bounds show that it is below ``least``."""
     from difflib import SequenceMatcher
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        m = SequenceMatcher(None, x, y)
+        far = least > 0 and (m.real_quick_ratio() < least or m.quick_ratio() < least)
+        out.append(0.0 if far else m.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def _ratio(least: float):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return alike(a, b, least)
+
+    return run
+
+
+def is_text_copy(a: Column, b: Column, least: float = 0.6) -> Column:
+    """Whether two texts are alike by their longest matching blocks; null if one is null."""
+    return F.pandas_udf(_ratio(least), "double")(a, b) >= least
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
     """How alike two texts are by their longest matching blocks; null if one is null."""
-    return F.pandas_udf(alike, "double")(a, b)
+    return F.pandas_udf(_ratio(0.0), "double")(a, b)

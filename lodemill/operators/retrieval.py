@@ -12,21 +12,18 @@ from lodemill.functions.text import base_name, chunk_cost
 from lodemill.operators import graph, vectors
 
 
+# What each kind of evidence adds to a score, and the bounds of sums and scores.
 @dataclass(frozen=True)
 class Weights:
-    """What each kind of evidence adds to a score."""
-
-    vector: float = 0.50
-    entity_per_shared: float = 0.12
-    entity_cap: float = 0.30
-    topic_per_shared: float = 0.08
-    topic_cap: float = 0.20
-    reference_out: float = 0.25
-    reference_in: float = 0.15
-    duplicate_of: float = -0.05
-    per_extra_hop: float = -0.02
-    score_min: float = 0.0
-    score_max: float = 1.0
+    similar: float = 0.50
+    per_entity: float = 0.12
+    most_entities: float = 0.30
+    per_topic: float = 0.08
+    most_topics: float = 0.20
+    cited: float = 0.25
+    copied: float = -0.05
+    lowest: float = 0.0
+    highest: float = 1.0
 
 
 QUANTUM = 1e-6
@@ -60,18 +57,18 @@ def contributions(candidates: DataFrame, w: Weights) -> DataFrame:
     """Adds a column per kind of evidence (null where it did not fire), ``evidence_count`` and ``score``."""
     out = candidates.select(
         "*",
-        F.when(F.col("similarity") > 0, F.lit(w.vector) * F.col("similarity")).alias("c_vector"),
-        F.when(F.col("entities") > 0, capped(w.entity_per_shared, w.entity_cap, F.col("entity_weight"))).alias("c_entity"),
-        F.when(F.col("topics") > 0, capped(w.topic_per_shared, w.topic_cap, F.col("topic_weight"))).alias("c_topic"),
-        F.when(F.col("citations") > 0, F.lit(w.reference_out)).alias("c_reference"),
-        F.when(F.col("duplicate_similarity").isNotNull(), F.lit(w.duplicate_of)).alias("c_duplicate"),
+        F.when(F.col("similarity") > 0, F.lit(w.similar) * F.col("similarity")).alias("c_vector"),
+        F.when(F.col("entities") > 0, capped(w.per_entity, w.most_entities, F.col("entity_weight"))).alias("c_entity"),
+        F.when(F.col("topics") > 0, capped(w.per_topic, w.most_topics, F.col("topic_weight"))).alias("c_topic"),
+        F.when(F.col("citations") > 0, F.lit(w.cited)).alias("c_reference"),
+        F.when(F.col("duplicate_similarity").isNotNull(), F.lit(w.copied)).alias("c_duplicate"),
     )
     kinds = ["c_vector", "c_entity", "c_topic", "c_reference", "c_duplicate"]
     total, fired = F.lit(0.0), F.lit(0)
     for kind in kinds:
         total = total + F.coalesce(kind, F.lit(0.0))
         fired = fired + F.col(kind).isNotNull().cast("int")
-    return out.withColumns({"evidence_count": fired, "score": F.greatest(F.lit(w.score_min), F.least(F.lit(w.score_max), total))})
+    return out.withColumns({"evidence_count": fired, "score": F.greatest(F.lit(w.lowest), F.least(F.lit(w.highest), total))})
 
 
 def rank_key() -> list[Column]:

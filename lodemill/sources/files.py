@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions.text import base_name, extension, matches_any
 
+# The files that are taken and left where nothing else is asked for.
 INCLUDE = ["**/*.md", "**/*.txt", "**/*.py", "**/*.ts", "**/*.pdf", "**/*.docx"]
 EXCLUDE = ["**/.git/**", "**/node_modules/**", "**/.venv/**", "**/__pycache__/**"]
 
