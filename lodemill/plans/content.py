@@ -217,5 +217,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY s DESC, id
 k AS (SELECT workspace_id, id FROM resources UNION SELECT workspace_id, resource_id FROM workspace_events),
 e AS (SELECT k.* FROM k WHERE workspace_id IS NOT NULL AND id IN (SELECT resource_id FROM ({changefeed.SQL["p5_found"]})))
 SELECT e.workspace_id, count(*) AS expected, round(count(r.n) FILTER (n <= 5)::double / count(*), 6) AS recall, round(coalesce(1.0::double / min(n), 0), 6) AS reciprocal_rank FROM e LEFT JOIN r ON r.workspace_id = e.workspace_id AND r.id = e.id GROUP BY 1""",
+    "duplicate_error_rates": f"""{_L}, f AS (SELECT id, summary FROM latest_files WHERE summary IS NOT NULL)
+SELECT DISTINCT src, dst, round(CASE WHEN greatest(length(a.summary), length(b.summary)) = 0 THEN 0 ELSE levenshtein(a.summary, b.summary)::double / greatest(length(a.summary), length(b.summary)) END, 6) AS error_rate
+FROM duplicates JOIN f a ON a.id = src JOIN f b ON b.id = dst WHERE src < dst""",
     "best_adapters": "WITH c AS (SELECT kind, adapter_name, resource_version_id, avg(confidence) AS v FROM representations WHERE confidence IS NOT NULL AND adapter_name IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT kind, adapter_name, avg(v) AS mean FROM c GROUP BY 1, 2) SELECT kind AS metric, arg_max(adapter_name, mean) AS adapter, round(max(mean), 6) AS mean FROM m GROUP BY 1",
 }
