@@ -154,7 +154,7 @@ class Net:
         for step in range(length):
             places = (step, length - 1 - step)
             for way, t in enumerate(places):
-                np.take(both[way], columns[t], axis=0, out=gates[way])
+                np.take(both[way], columns[t], axis=0, out=gates[way], mode="clip")
             np.matmul(h, U, out=rec)
             zr, n = gates[:, :, : 2 * hidden], gates[:, :, 2 * hidden :]
             zr += rec[:, :, : 2 * hidden]
@@ -249,7 +249,7 @@ def _packed(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return used, place.reshape(index.shape)
 
 
-def score_windows(nets: list[Net], vocabulary: Words, index: np.ndarray, mask: np.ndarray, batch: int = 1024) -> np.ndarray:
+def score_windows(nets: list[Net], vocabulary: Words, index: np.ndarray, mask: np.ndarray, batch: int = 256) -> np.ndarray:
     """The mean of the networks' logits of each window of numbered words."""
     out = np.zeros((len(index), len(CATEGORIES)), np.float32)
     every = np.arange(len(vocabulary.word_row))
