@@ -24,7 +24,7 @@ from lodemill.llm.vptree import Hits, Tree, search
 from lodemill.session import Scratch
 
 SAMPLE, MOST_SAMPLE = 20_000, 320_000
-SHARD = 16_384
+SHARD = 4096
 LEAST_SHARDS = 16
 BUCKET = 256
 FACTOR = 0.4
