@@ -5,8 +5,8 @@ ranking until neither is left; the reduced core, where every vertex has three ne
 alternating large-star and small-star steps; the stripped vertices then get the labels of what they hung on.
 
 No step joins on the key of a busy vertex, but for the star steps of the core and the final labels, whose other side
-has one row per key, so that adaptive skew joins split them. Every loop ends by a count of rows written to the scratch
-folder, not by collected links.
+has one row per key, so that adaptive skew joins split them. Every loop ends by counts taken while rows are written
+to the scratch folder, not by collected links.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ def _arcs(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("x")).select("x.a", "x.b")
 
 
-def _low_degree(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The vertices with one or two neighbours: ``a, n, x, y`` with x <= y the neighbours."""
+def _low_degree(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
+    """The vertices with one or two neighbours, ``a, n, x, y`` with x <= y the neighbours, and how many have one and two."""
     degrees = _arcs(edges).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("x"), F.max("b").alias("y"))
-    return scratch.write(degrees.where(F.col("n") <= 2))
+    return scratch.measured(degrees.where(F.col("n") <= 2), ones=F.count_if(F.col("n") == 1), twos=F.count_if(F.col("n") == 2))
 
 
 def _rake(low: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def _rank_chains(low: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
             (F.col("done") | ~found | F.coalesce("n_done", F.lit(False))).alias("done"),
             (~F.col("done") & (~found | F.coalesce("n_done", F.lit(False)) | (F.col("n_low") < F.col("low")))).alias("moved"),
         )
-        after = scratch.write(stepped)
+        after, told = scratch.measured(stepped, moved=F.count_if("moved"))
         scratch.drop(states)
         states = after
-        if states.where("moved").isEmpty():
+        if not told["moved"]:
             return states, middle
 
 
@@ -93,10 +93,9 @@ def _core(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = scratch.write(large)
         down = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("k"), "m")
         small = large.join(down, F.col("hi") == F.col("k")).select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x")).select("x.*")
-        small = scratch.write(small.where(F.col("hi") != F.col("lo")).distinct())
+        small, now = scratch.measured(small.where(F.col("hi") != F.col("lo")).distinct(), rows=F.count("*"), hash=F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")))
         scratch.drop(stars, large)
         stars = small
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == shape:
             return stars.select(F.col("hi").alias("v"), F.col("lo").alias("parent"))
         shape = now
@@ -110,23 +109,26 @@ def link_groups(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """
     scratch = Scratch(links.sparkSession)
     edges = links.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).agg(F.lit(1)).select("u", "v")
-    edges = scratch.write(edges)
-    first, steps = edges, []
-    while not edges.isEmpty():
-        low = _low_degree(edges, scratch)
-        if low.isEmpty():
+    edges, told = scratch.measured(edges, rows=F.count("*"))
+    first, steps, left = edges, [], told["rows"]
+    while left:
+        low, told = _low_degree(edges, scratch)
+        if not told["ones"] and not told["twos"]:
             steps.append(_core(edges, scratch))
             break
-        raked = scratch.write(_rake(low))
-        steps.append(raked.select("v", "parent"))
-        edges = _without(edges, raked.select("e_u", "e_v"), None, first, scratch)
-        low = _low_degree(edges, scratch)
-        if low.where(F.col("n") == 2).isEmpty():
+        if told["ones"]:
+            raked = scratch.write(_rake(low))
+            steps.append(raked.select("v", "parent"))
+            edges, left = _without(edges, raked.select("e_u", "e_v"), None, first, scratch)
+            if not left:
+                break
+            low, told = _low_degree(edges, scratch)
+        if not told["twos"]:
             continue
         chained, bridges = _compress(low, scratch)
         steps.append(chained)
         beside = F.explode(F.array(*[F.struct(F.least("a", c).alias("e_u"), F.greatest("a", c).alias("e_v")) for c in "xy"]))
-        edges = _without(edges, low.where(F.col("n") == 2).select(beside.alias("e")).select("e.*"), bridges, first, scratch)
+        edges, left = _without(edges, low.where(F.col("n") == 2).select(beside.alias("e")).select("e.*"), bridges, first, scratch)
     if not steps:
         return first.select(F.col("u").alias("member"), F.col("v").alias("group_id"))
     parents = steps[0]
@@ -135,12 +137,12 @@ def link_groups(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return _labels(scratch.write(parents), scratch)
 
 
-def _without(edges: DataFrame, gone: DataFrame, new: DataFrame | None, first: DataFrame, scratch: Scratch) -> DataFrame:
+def _without(edges: DataFrame, gone: DataFrame, new: DataFrame | None, first: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     left = edges.join(gone, (F.col("u") == F.col("e_u")) & (F.col("v") == F.col("e_v")), "left_anti")
-    out = scratch.write(left if new is None else left.unionByName(new).distinct())
+    out, told = scratch.measured(left if new is None else left.unionByName(new).distinct(), rows=F.count("*"))
     if edges is not first:
         scratch.drop(edges)
-    return out
+    return out, told["rows"]
 
 
 def _labels(parents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -149,10 +151,10 @@ def _labels(parents: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         above = forest.select(F.col("v").alias("k"), F.col("root").alias("above"))
         jumped = forest.join(above, F.col("root") == F.col("k"), "left").select("v", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
-        jumped = scratch.write(jumped)
+        jumped, told = scratch.measured(jumped, moved=F.count_if("moved"))
         scratch.drop(forest)
         forest = jumped.select("v", "root")
-        if jumped.where("moved").isEmpty():
+        if not told["moved"]:
             break
     least = forest.groupBy("root").agg(F.min("v").alias("m")).select(F.col("root").alias("k"), F.least("root", "m").alias("group_id"))
     members = forest.select("root", F.col("v").alias("member")).unionByName(least.select(F.col("k").alias("root"), F.col("k").alias("member")))
