@@ -31,11 +31,12 @@ def recall_by_counts(returned: DataFrame, expected: DataFrame, k: int) -> DataFr
     return g.select("query", "expected", (F.col("hits") / F.col("expected")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def best_adapter(scores: DataFrame) -> DataFrame:
-    """Per metric the adapter with the highest mean over its cases' means; ties by name."""
+def best_adapter(scores: DataFrame, least: bool = False) -> DataFrame:
+    """Per metric the adapter with the highest mean over its cases' means, or the least (of times and sizes); ties by name."""
+    sign = 1 if least else -1
     cases = scores.groupBy("metric", "adapter", "case").agg(F.avg("value").alias("v"))
     means = cases.groupBy("metric", "adapter").agg(F.avg("v").alias("mean"))
-    return means.groupBy("metric").agg(F.min(F.struct((-F.col("mean")).alias("m"), "adapter")).alias("b")).select("metric", "b.adapter", (-F.col("b.m")).alias("mean"))
+    return means.groupBy("metric").agg(F.min(F.struct((sign * F.col("mean")).alias("m"), "adapter")).alias("b")).select("metric", "b.adapter", (sign * F.col("b.m")).alias("mean"))
 
 
 def box_overlap(a, b):

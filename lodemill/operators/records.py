@@ -79,3 +79,22 @@ def stable(looks: DataFrame) -> DataFrame:
     same = lambda c: F.count_distinct(F.coalesce(F.col(c), F.lit(-1))) == 1
     g = once.groupBy("id").agg(F.count("*").alias("looks"), (same("size_bytes") & same("mtime")).alias("stable"), F.max(F.struct("seen_at", "content_hash")).alias("last"))
     return g.where(F.col("looks") > 1).select("id", "stable", F.when(F.col("stable"), F.col("last.content_hash")).alias("content_hash"))
+
+
+def nested_roots(roots: DataFrame) -> DataFrame:
+    """``outer, inner`` of ``roots(id, root)``: workspaces one of whose roots is that of the other or lies below it.
+
+    Every root is joined by its ancestors, so no pair of unrelated roots is looked at. Of equal roots the least id is the outer.
+    """
+    parts = F.filter(F.split(F.rtrim("root", F.lit("/")), "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    rows = roots.where(F.col("id").isNotNull() & F.col("root").isNotNull()).select("id", parts.alias("parts")).where(F.size("parts") > 0).distinct()
+    inner = rows.select(F.col("id").alias("inner"), F.array_join("parts", "/").alias("own"), F.explode(above).alias("at"))
+    outer = rows.select(F.col("id").alias("outer"), F.array_join("parts", "/").alias("at"))
+    both = inner.join(outer, "at").where((F.col("inner") != F.col("outer")) & ((F.col("own") != F.col("at")) | (F.col("outer") < F.col("inner"))))
+    return both.select("outer", "inner").distinct()
+
+
+def cleanup_blockers(legacy: DataFrame, imported: DataFrame) -> DataFrame:
+    """Ids of an older store that are not imported under the same hash: while there are any, it must not be removed."""
+    return legacy.select("id", "content_hash").distinct().join(imported.select("id", "content_hash"), ["id", "content_hash"], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Kinds whose content is text, and statuses that are shown.
 TEXT_KINDS = ("ocr_text", "extracted_text", "transcript_segment", "image_caption")
@@ -143,3 +144,16 @@ def enrichment_probe(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """``asked`` with ``extraction`` and ``hit``; an error on record is no hit."""
     good = cache.where(F.col("status") == "success").select("content_hash", "fingerprint", "extraction", F.lit(True).alias("hit"))
     return asked.join(good, ["content_hash", "fingerprint"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def history(rows: DataFrame, most: int = 10) -> DataFrame:
+    """``resource_version_id, kind, place, id, status``: the newest rows of each version and kind, ``most`` at most."""
+    order = Window.partitionBy("resource_version_id", "kind").orderBy(F.desc_nulls_last("created_at"), "id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("resource_version_id", "kind", "place", "id", "status")
+
+
+def available_routes(rows: DataFrame, enabled: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``route, rows``: the enabled routes that have something to search: shown rows of one of their kinds."""
+    shown = rows.where(F.col("status").isin(*VISIBLE))
+    found = F.array_compact(F.array(*[F.when(F.col("kind").isin(*kinds), F.lit(route)) for route, kinds in enabled.items()]))
+    return shown.select(F.explode(found).alias("route")).groupBy("route").agg(F.count("*").alias("rows"))

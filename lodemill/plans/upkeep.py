@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions import paths
 from lodemill.functions import text as t
-from lodemill.operators import blobs, budget, events, projection, records, representations, retrieval
+from lodemill.operators import blobs, budget, evaluation, events, projection, records, representations, retrieval
 from lodemill.plans import binding, changefeed, state
 from lodemill.plans.binding import EDGES, LATEST_FILES
 from lodemill.session import table
@@ -240,12 +240,43 @@ def observer_actions(spark, sf_dir) -> DataFrame:
     return events.observer_actions(state._log(spark, sf_dir)).groupBy("workspace_id", "action").agg(F.count("*").alias("events"))
 
 
+def _roots(spark, sf_dir) -> DataFrame:
+    log = table(spark, sf_dir, "workspace_events").where(F.col("kind").isin("workspace_registered", "workspace_relocated"))
+    return log.select(F.col("workspace_id").alias("id"), F.col("detail")["root_path"].alias("root"))
+
+
+def nested_roots(spark, sf_dir) -> DataFrame:
+    """Roots that workspaces ever had, and the folder of each resource's first part below one of them."""
+    below = table(spark, sf_dir, "resources").select("id", F.concat(F.lit("/vault/"), F.element_at(F.split("current_path", "/"), 1), F.lit("/")).alias("root"))
+    return records.nested_roots(_roots(spark, sf_dir).unionByName(below))
+
+
+def cleanup_blockers(spark, sf_dir) -> DataFrame:
+    """All rows of files as an older store against the indexed ones."""
+    rows = table(spark, sf_dir, "files").where(F.col("id").isNotNull())
+    return records.cleanup_blockers(rows, rows.where(F.col("status") == "indexed"))
+
+
+def representation_history(spark, sf_dir) -> DataFrame:
+    return representations.history(_reps(spark, sf_dir), 3)
+
+
+def media_routes(spark, sf_dir) -> DataFrame:
+    return representations.available_routes(_reps(spark, sf_dir), {"text": representations.TEXT_KINDS, "visual": ("keyframe", "thumbnail"), "speech": ("transcript_segment",), "sound": ("waveform",)})
+
+
+def leanest_adapters(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "representations").where(F.col("textual_payload").isNotNull() & F.col("adapter_name").isNotNull())
+    sizes = rows.select(F.col("kind").alias("metric"), F.col("adapter_name").alias("adapter"), F.col("resource_version_id").alias("case"), F.length("textual_payload").cast("double").alias("value"))
+    return evaluation.best_adapter(sizes, least=True).select("metric", "adapter", F.round("mean", 6).alias("mean"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         blob_store, blob_damage, recovery_blob_stats, representation_transitions, representations_after_deletion, representations_without_deleted, representations_cloned, coverage_reasons, enrichment_hits,
         media_text_hits, media_graph_edges, intent_rows, graph_after_extraction, graph_rebuilt, path_faults, supported_files, files_mime, escalations, brief_sections, workspace_inspect, media_previews,
-        metrics_export, fused_contributions, untrusted_evidence, sampling_fingerprints, scoped_orders, records_after_put, stable_files, observer_actions,
+        metrics_export, fused_contributions, untrusted_evidence, sampling_fingerprints, scoped_orders, records_after_put, stable_files, observer_actions, nested_roots, cleanup_blockers, representation_history, media_routes, leanest_adapters,
     )
 }
 
@@ -344,4 +375,14 @@ SQL = {
       a AS (SELECT e.workspace_id, CASE WHEN before IS NOT NULL AND e.sequence <> before + 1 THEN 'full_scan' WHEN kind IN ('resource_ambiguous', 'workspace_relocated') THEN 'full_scan'
         WHEN resource_id IS NULL THEN 'none' WHEN kind = 'external_change' THEN 'external' ELSE 'governed' END AS action FROM e)
       SELECT workspace_id, action, count(*) AS events FROM a GROUP BY 1, 2""",
+    "nested_roots": """WITH r AS (SELECT workspace_id AS id, detail['root_path'] AS root FROM workspace_events WHERE kind IN ('workspace_registered', 'workspace_relocated') UNION SELECT id, '/vault/' || string_split(current_path, '/')[1] FROM resources),
+      k AS (SELECT DISTINCT id, rtrim(root, '/') AS root FROM r WHERE id IS NOT NULL AND rtrim(root, '/') <> '')
+      SELECT DISTINCT o.id AS "outer", i.id AS "inner" FROM k o JOIN k i ON o.id <> i.id AND (starts_with(i.root, o.root || '/') OR (i.root = o.root AND o.id < i.id))""",
+    "cleanup_blockers": """SELECT DISTINCT id, content_hash FROM files f WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files g WHERE g.id = f.id AND g.content_hash = f.content_hash AND g.status = 'indexed')""",
+    "representation_history": f"""{_R}, n AS (SELECT resource_version_id, kind, row_number() OVER (PARTITION BY resource_version_id, kind ORDER BY created_at DESC NULLS LAST, id)::int AS place, id, status FROM reps) SELECT * FROM n WHERE place <= 3""",
+    "media_routes": f"""{_R}, s AS (SELECT kind FROM reps WHERE status IN ('current', 'partial'))
+      SELECT 'text' AS route, count(*) AS rows FROM s WHERE kind IN ('ocr_text', 'extracted_text', 'transcript_segment', 'image_caption') HAVING count(*) > 0
+      UNION ALL SELECT 'visual', count(*) FROM s WHERE kind IN ('keyframe', 'thumbnail') HAVING count(*) > 0 UNION ALL SELECT 'speech', count(*) FROM s WHERE kind = 'transcript_segment' HAVING count(*) > 0""",
+    "leanest_adapters": """WITH c AS (SELECT kind, adapter_name, resource_version_id, avg(length(textual_payload)) AS v FROM representations WHERE textual_payload IS NOT NULL AND adapter_name IS NOT NULL GROUP BY 1, 2, 3),
+      m AS (SELECT kind, adapter_name, avg(v) AS mean, row_number() OVER (PARTITION BY kind ORDER BY avg(v), adapter_name) AS n FROM c GROUP BY 1, 2) SELECT kind AS metric, adapter_name AS adapter, round(mean, 6) AS mean FROM m WHERE n = 1""",
 }
