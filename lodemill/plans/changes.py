@@ -96,7 +96,8 @@ def stale_triggers(spark, sf_dir) -> DataFrame:
 
 def validation_freshness(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "resources").where(F.col("id").isNotNull()).select(F.col("id").alias("change_set_id"), F.col("updated_at").alias("validated_at"))
-    return changesets.freshness(rows, F.lit("2025-06-01").cast("timestamp"), 90 * 86_400)
+    fresh = changesets.freshness(rows, F.lit("2025-06-01").cast("timestamp"), 90 * 86_400)
+    return fresh.select("change_set_id", F.unix_micros("validated_at").alias("validated_us"), "fresh")
 
 
 def violations_changed(spark, sf_dir) -> DataFrame:
@@ -195,7 +196,7 @@ SQL = {
     "stale_triggers": """WITH f AS (SELECT * EXCLUDE (n) FROM (SELECT id, kind, occurred_at, resource_id, row_number() OVER (PARTITION BY id ORDER BY kind NULLS FIRST, occurred_at NULLS FIRST, resource_id NULLS FIRST) AS n FROM workspace_events WHERE id IS NOT NULL) WHERE n = 1),
       r AS (SELECT resource_id AS change_set_id, row_number() OVER (PARTITION BY resource_id ORDER BY occurred_at DESC NULLS LAST, id)::int AS place, id AS event_id, kind FROM f WHERE kind = 'external_change' AND resource_id IS NOT NULL)
       SELECT * FROM r WHERE place <= 50""",
-    "validation_freshness": """SELECT id AS change_set_id, max(updated_at) AS validated_at, epoch_us('2025-06-01 00:00:00+00'::timestamptz) - epoch_us(max(updated_at)) <= 90 * 86400 * 1000000::bigint AS fresh
+    "validation_freshness": """SELECT id AS change_set_id, epoch_us(max(updated_at)) AS validated_us, epoch_us('2025-06-01 00:00:00+00'::timestamptz) - epoch_us(max(updated_at)) <= 90 * 86400 * 1000000::bigint AS fresh
       FROM resources WHERE id IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1""",
     "violations_changed": """WITH s AS (SELECT l_orderkey AS change_set_id, coalesce(list_sort(list_distinct(list(l_partkey) FILTER (l_returnflag = 'R'))), []) AS a, coalesce(list_sort(list_distinct(list(l_partkey) FILTER (l_linestatus = 'F'))), []) AS b FROM lineitem GROUP BY 1)
       SELECT change_set_id, a <> b AS changed FROM s""",

@@ -34,7 +34,7 @@ def files_work_list(spark, sf_dir) -> DataFrame:
 def files_status_page(spark, sf_dir) -> DataFrame:
     """One row about all files and chunks: two aggregates laid on top of each other, each null where the other tells."""
     names = ["files", "indexed", "failed", "bytes", "waiting", "last_indexed", "chunks"]
-    f = _files(spark, sf_dir).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "error").alias("failed"), F.sum("size_bytes").alias("bytes"), F.bool_or(F.col("last_indexed_at").isNull()).alias("waiting"), F.max("last_indexed_at").alias("last_indexed"))
+    f = _files(spark, sf_dir).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "error").alias("failed"), F.sum("size_bytes").alias("bytes"), F.bool_or(F.col("last_indexed_at").isNull()).alias("waiting"), F.unix_micros(F.max("last_indexed_at")).alias("last_indexed"))
     c = table(spark, sf_dir, "chunks").agg(F.countDistinct("id").alias("chunks"))
     return f.unionByName(c, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
@@ -181,7 +181,7 @@ SQL = {
     "files_latest": f"{_L} SELECT id, path, status, content_hash, size_bytes FROM latest_files",
     "files_by_status": f"{_L} SELECT coalesce(status, 'pending') AS status, count(*) AS files FROM latest_files GROUP BY 1",
     "files_work_list": f"{_L} SELECT id, content_hash, status FROM latest_files l WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.status = 'indexed' AND f.id = l.id AND f.content_hash = l.content_hash)",
-    "files_status_page": f"{_L} SELECT count(*) AS files, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'error') AS failed, sum(size_bytes)::bigint AS bytes, bool_or(last_indexed_at IS NULL) AS waiting, max(last_indexed_at) AS last_indexed, (SELECT count(DISTINCT id) FROM chunks) AS chunks FROM latest_files",
+    "files_status_page": f"{_L} SELECT count(*) AS files, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'error') AS failed, sum(size_bytes)::bigint AS bytes, bool_or(last_indexed_at IS NULL) AS waiting, epoch_us(max(last_indexed_at)) AS last_indexed, (SELECT count(DISTINCT id) FROM chunks) AS chunks FROM latest_files",
     "files_matching": f"{_L} SELECT id, path FROM latest_files WHERE path GLOB '*/*.md' OR path GLOB '*.pdf' OR regexp_full_match(path, '/vault/t.*/.*', 's') OR regexp_full_match(string_split(path, '/')[-1], 'audit_..*_[0-9].*\\.json')",
     "files_within": f"{_L} SELECT id, path FROM latest_files WHERE starts_with(path, '/vault/kettle/') OR starts_with(path, '/vault/tariff/')",
     "files_names": f"{_L} SELECT id, string_split(path, '/')[-1] AS name, lower(regexp_extract(string_split(path, '/')[-1], '(\\.[^./]+)$', 1)) AS suffix, sha256(path) AS path_hash FROM latest_files",
