@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodemill.functions import paths
 from lodemill.functions import text as t
 from lodemill.operators import blobs, budget, evaluation, events, projection, records, representations, retrieval
-from lodemill.plans import binding, changefeed, state
+from lodemill.operators.extensions import Extensions, Pipeline
+from lodemill.plans import binding, state
 from lodemill.plans.binding import EDGES, LATEST_FILES
 from lodemill.session import table
 
@@ -271,12 +272,32 @@ def leanest_adapters(spark, sf_dir) -> DataFrame:
     return evaluation.best_adapter(sizes, least=True).select("metric", "adapter", F.round("mean", 6).alias("mean"))
 
 
+def _extensions() -> Extensions:
+    """Stand-ins for models: texts in English give their first words in capitals, others their length, letters their vectors."""
+    first = lambda rows: rows.select("id", F.upper(F.substring("content", 1, 30)).alias("payload"))
+    size = lambda rows: rows.select("id", F.when(F.length("content") > 400, F.length("content").cast("string")).alias("payload"))
+    share = lambda text: F.array(*[F.try_divide(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))), F.length(text)) for c in "aeiou"])
+    return Extensions(pipelines=[Pipeline("first", "text/e?", "summary", first), Pipeline("size", "text/*", "summary", size, "2", True)], encoders={"vowels": (5, share)})
+
+
+def extension_outputs(spark, sf_dir) -> DataFrame:
+    """Documents through pipelines by language; the even ones in English are cached."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("text/"), "lang").alias("mime"), F.col("text").alias("content"))
+    cached = docs.where(F.col("id") % 2 == 0).select("id", F.lit("first@1").alias("pipeline"), F.lit("cached").alias("payload"))
+    return _extensions().produced(docs, "summary", cached)
+
+
+def extension_vectors(spark, sf_dir) -> DataFrame:
+    docs = _extensions().encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "vowels")
+    return docs.where(F.col("vector").isNotNull()).select("doc_id", F.round(F.col("vector")[0], 6).alias("a"), F.round(F.col("vector")[4], 6).alias("u"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         blob_store, blob_damage, recovery_blob_stats, representation_transitions, representations_after_deletion, representations_without_deleted, representations_cloned, coverage_reasons, enrichment_hits,
         media_text_hits, media_graph_edges, intent_rows, graph_after_extraction, graph_rebuilt, path_faults, supported_files, files_mime, escalations, brief_sections, workspace_inspect, media_previews,
-        metrics_export, fused_contributions, untrusted_evidence, sampling_fingerprints, scoped_orders, records_after_put, stable_files, observer_actions, nested_roots, cleanup_blockers, representation_history, media_routes, leanest_adapters,
+        metrics_export, fused_contributions, untrusted_evidence, sampling_fingerprints, scoped_orders, records_after_put, stable_files, observer_actions, nested_roots, cleanup_blockers, representation_history, media_routes, leanest_adapters, extension_outputs, extension_vectors,
     )
 }
 
@@ -385,4 +406,9 @@ SQL = {
       UNION ALL SELECT 'visual', count(*) FROM s WHERE kind IN ('keyframe', 'thumbnail') HAVING count(*) > 0 UNION ALL SELECT 'speech', count(*) FROM s WHERE kind = 'transcript_segment' HAVING count(*) > 0""",
     "leanest_adapters": """WITH c AS (SELECT kind, adapter_name, resource_version_id, avg(length(textual_payload)) AS v FROM representations WHERE textual_payload IS NOT NULL AND adapter_name IS NOT NULL GROUP BY 1, 2, 3),
       m AS (SELECT kind, adapter_name, avg(v) AS mean, row_number() OVER (PARTITION BY kind ORDER BY avg(v), adapter_name) AS n FROM c GROUP BY 1, 2) SELECT kind AS metric, adapter_name AS adapter, round(mean, 6) AS mean FROM m WHERE n = 1""",
+    "extension_outputs": """WITH d AS (SELECT doc_id AS id, 'text/' || lang AS mime, text, regexp_full_match('text/' || lang, 'text/e.', 's') AS en FROM documents)
+      SELECT id, 'summary' AS kind, CASE WHEN en THEN 'first@1' WHEN mime IS NOT NULL THEN 'size@2' END AS pipeline,
+        CASE WHEN mime IS NULL THEN 'unavailable' WHEN CASE WHEN en THEN text IS NOT NULL OR id % 2 = 0 ELSE length(text) > 400 END THEN 'current' ELSE 'failed' END AS status,
+        CASE WHEN en THEN CASE WHEN id % 2 = 0 THEN 'cached' ELSE upper(left(text, 30)) END WHEN mime IS NOT NULL AND length(text) > 400 THEN length(text)::varchar END AS payload FROM d""",
+    "extension_vectors": """SELECT doc_id, round((length(text) - length(replace(text, 'a', '')))::double / length(text), 6) AS a, round((length(text) - length(replace(text, 'u', '')))::double / length(text), 6) AS u FROM documents WHERE length(text) > 0""",
 }

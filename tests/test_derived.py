@@ -10,6 +10,7 @@ from lodemill.functions import paths
 from lodemill.functions import text as t
 from lodemill.functions.patches import apply_diff, patched
 from lodemill.operators import blobs, changesets, derived, evaluation, images, projection, representations
+from lodemill.operators.extensions import Extensions, Pipeline
 
 
 def test_diffs_made_by_a_library_apply():
@@ -159,3 +160,20 @@ def test_zip_of_a_document_is_told(spark):
     df = spark.createDataFrame([("a.xlsx", bytearray(out.getvalue())), ("b.png", bytearray(out.getvalue())), ("c", None), ("d", bytearray(b""))], "path string, content binary")
     got = {r.path: (r.media_type, r.mismatch) for r in media.describe(df).collect()}
     assert got["a.xlsx"] == (media.OFFICE["xl/"], False) and got["b.png"][1] and got["c"] == got["d"] == (None, False)
+
+
+def test_extensions(spark):
+    seen = []
+
+    def run(rows):
+        seen.append(len(seen))
+        return rows.select("id", F.when(F.col("content") != "bad", F.concat(F.col("content"), F.lit("!"))).alias("payload"))
+
+    ext = Extensions([lambda c: F.when(c == "x", "text/x"), lambda c: F.lit("text/any")], [Pipeline("one", "text/*", "k", run, retry=True), Pipeline("two", "*", "k", lambda rows: rows.select("id", F.lit("two").alias("payload"))), Pipeline("other", "*", "j", run)], {"v": (2, lambda t: F.array(F.length(t), F.lit(1)))})
+    rows = spark.createDataFrame([(1, "text/a", "a", "z"), (2, "text/b", "bad", "z"), (3, "image/x", None, "z"), (4, None, "d", "z"), (5, "text/c", "c", "z")], "id int, mime string, content string, payload string")
+    cached = spark.createDataFrame([(5, "one@1", "kept"), (1, "one@0", "old"), (9, "one@1", "x")], "id int, pipeline string, payload string")
+    got = {r.id: (r.pipeline, r.status, r.payload) for r in ext.produced(rows, "k", cached).collect()}
+    assert got == {1: ("one@1", "current", "a!"), 2: ("one@1", "failed", None), 3: ("two@1", "current", "two"), 4: (None, "unavailable", None), 5: ("one@1", "current", "kept")}
+    assert ext.produced(rows.limit(0), "k").count() == 0 and ext.produced(rows, "none").count() == 5
+    assert [r.vector for r in ext.encoded(rows.orderBy("id"), "v", "content").collect()][:3] == [[1.0, 1.0], [3.0, 1.0], None]
+    assert [r.t for r in rows.select(ext.detected(F.lit("x")).alias("t")).limit(1).collect()] == ["text/x"]
