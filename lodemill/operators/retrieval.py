@@ -105,11 +105,11 @@ def candidates(hits: DataFrame, files: DataFrame, edges: dict[str, DataFrame]) -
     ``hits`` are a bounded number of rows (the k of the search), so the frontier is broadcast. ``edges`` holds references,
     duplicates and connectors (or mentions and about), and the frontier's own connectors as ``mine`` if they are at hand.
     """
-    frontier = F.broadcast(vectors.best_per_file(hits))
+    best = vectors.best_per_file(hits)
     connected = edges["connectors"] if "connectors" in edges else graph.connectors(edges["mentions"], edges["about"])
-    hops = graph.neighbours(frontier, edges["references"], connected, edges["duplicates"], mine=edges.get("mine"))
+    hops = graph.neighbours(F.broadcast(best), edges["references"], connected, edges["duplicates"], mine=edges.get("mine"))
     found = connector_evidence(hops).withColumnRenamed("peer", "file_id")
-    both = found.join(frontier, "file_id", "full_outer")
+    both = found.join(best, "file_id", "full_outer")
     return both.join(files.select("file_id", "path", "summary"), "file_id").where(F.col("path").isNotNull())
 
 
