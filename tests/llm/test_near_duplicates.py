@@ -118,3 +118,13 @@ def test_groups_of_a_busy_template(spark):
         for _, a, b in brute(rows):
             up[a] = up[b] = min(up[a], up[b])
     assert group == up and len(set(group.values())) > 1
+
+
+def test_batches_of_which_nothing_is_left(spark):
+    """A batch of short texts alone, and one whose last text that is long enough fills what is signed at once."""
+    short = [("file", f"s{n}", "one two three") for n in range(3)]
+    assert NearDuplicates(frame(spark, short).coalesce(1)).found_pairs().count() == 0
+    assert NearDuplicates(frame(spark, short).coalesce(1)).groups().count() == 0
+    text = " ".join(f"t{i}" for i in range(25000))
+    found = NearDuplicates(frame(spark, [("file", "a", text), ("file", "b", "x " + text), *short]).coalesce(1)).found_pairs().collect()
+    assert [tuple(r) for r in found] == [("file", "a", "b")]
